@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iolens.llm import leakage, tokens
+from iolens.llm import abuse, leakage, tokens
 from iolens.runtime import table
 
 
@@ -33,7 +33,26 @@ def p9_reparameterised(spark: SparkSession, d: str) -> DataFrame:
     return leakage.reparameterised(_pairs(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_source_tokens, p9_found, p9_reparameterised)}
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abuse.score_documents(docs, abuse.fit(*abuse.rated(docs, table(spark, d, "doc_labels"))))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("flagged").select("doc_id")
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", "score", "flagged")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with text, flagged ones and their share per source."""
+    n, k = F.count("score"), F.count_if("flagged")
+    return _scored(spark, d).groupBy("source").agg(n.alias("n_docs"), k.alias("n_flagged"), F.try_divide(k, n).alias("rate"))
+
+
+QUERIES = {f.__name__: f for f in (p8_ids, p8_source_tokens, p9_found, p9_reparameterised, p10_found, p10_scores, p10_rates)}
 
 _GONE = "chr(173) || chr(8203) || chr(8204) || chr(8205) || chr(8288) || chr(65279)"
 _WORDS = f"regexp_extract_all(lower(regexp_replace(text, '[' || {_GONE} || ']', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"

@@ -18,6 +18,8 @@ WHITE_SPACE = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0x85, 0xA0, 0x1680, *range(0x
 INVISIBLE = [0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]
 #: Marks the end of a text; no code point has this value.
 STOP = 0x110000
+#: Code points from here on are private, unassigned or tags.
+LAST = 0x34000
 #: Characters per block, unless one text alone is longer.
 BLOCK = 1_500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -30,8 +32,9 @@ def classes(drop_invisible: bool = False) -> np.ndarray:
     """The class of every code point; with drop_invisible the invisible ones are GONE."""
     if drop_invisible not in _tables:
         kinds = {"L": LETTER, "N": NUMBER}
-        out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-        out = np.r_[out, np.uint8(END)]
+        out = np.full(STOP + 1, OTHER, np.uint8)  # no letters or numbers lie beyond LAST
+        out[:LAST] = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(LAST)), np.uint8, LAST)
+        out[STOP] = END
         out[WHITE_SPACE] = SPACE
         if drop_invisible:
             out[INVISIBLE] = GONE
