@@ -18,6 +18,7 @@ from iolens.operators import normalize as N
 from iolens.operators import profiles as P
 from iolens.operators import system as Y
 from iolens.operators import views as V
+from iolens.plans.engine_sql import SQL  # noqa: F401
 from iolens.presets import AI, POSIX, categories, discovered
 from iolens.runtime import fresh_dir, records, table, written
 from iolens.sources import tables as T
@@ -29,7 +30,8 @@ CORE = AI.only("epoch", "compute", "fetch_data", "checkpoint", "data_loader", "r
 
 
 def r(c: Column | str, n: int = 6) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, n)
+    c = F.col(c) if isinstance(c, str) else c
+    return F.rint(c * float(10**n)) / float(10**n)
 
 
 def rounded(df: DataFrame, n: int = 6) -> DataFrame:
@@ -408,4 +410,3 @@ _ALL = [
     auto_layers, stream_tumbling,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
-SQL: dict[str, str] = {}
