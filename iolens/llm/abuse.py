@@ -59,6 +59,9 @@ def _fold_table() -> np.ndarray:
         gone[ts.INVISIBLE] = True
         gone[[c for c in range(0x300, 0x3000) if unicodedata.category(chr(c)) == "Mn"]] = True
         _tables["gone"] = gone
+        upper = np.zeros(ts.STOP + 1, bool)
+        upper[[c for c in range(0x3000) if chr(c).isupper()]] = True
+        _tables["upper"] = upper
         letter = np.arange(ts.STOP + 1, dtype=np.uint32)
         for k, v in FOR_LETTERS.items():
             letter[ord(k)] = ord(v)
@@ -94,11 +97,8 @@ def folded_words(texts: list[str], seen: np.ndarray | None = None) -> tuple[np.n
     points, _ = ts.code_points(texts)
     points = points[~_tables["gone"][points]]
     points = points[_spelled_out(points)]
-    kinds = ts.classes()
-    raw_upper = kinds[points] == ts.LETTER
-    low = fold[points]
-    raw_upper &= low != points
-    kind = kinds[low]
+    low, upper = fold[points], _tables["upper"][points]
+    kind = ts.classes()[low]
     letter, digit = kind == ts.LETTER, (low >= 0x30) & (low <= 0x39)
     sign = (low == 0x40) | (low == 0x24)
     star = low == 0x2A
@@ -109,10 +109,11 @@ def folded_words(texts: list[str], seen: np.ndarray | None = None) -> tuple[np.n
     cjk = (low >= 0x3040) & (low <= 0x9FFF)
     new = part & ~np.r_[False, part[:-1]]
     new |= part & (cjk | np.r_[False, cjk[:-1]])
-    camel = raw_upper & np.r_[False, letter[:-1] & ~raw_upper[:-1]]
+    camel = upper & np.r_[False, letter[:-1] & ~upper[:-1]]
     new |= camel & letter
-    # a repeated letter counts once
-    part &= ~(letter & ~new & np.r_[False, low[1:] == low[:-1]])
+    # a repeated letter counts once, whether written as a letter or not
+    spelt = _tables["letter"][low]
+    part &= ~((letter | digit) & ~new & np.r_[False, spelt[1:] == spelt[:-1]])
     owner_at = np.cumsum(kind == ts.END)
     low, new, letter, digit, masked, owner_at = low[part], new[part], letter[part], digit[part], masked[part], owner_at[part]
     starts = np.flatnonzero(new)
