@@ -41,7 +41,8 @@ def keyed_stats(df: DataFrame, fields: dict[str, Column], value: str, percents:
 
     df: one row per record (any further columns are ignored). fields: name of
     the field to its key expression. Result: field_name, key_value, n (records,
-    including those without value), n_values, total, and p<percent> for each
+    including those without value), n_values, total (a decimal, so that it can't
+    overflow), and p<percent> for each
     percent: the first value whose cumulative count reaches percent % of
     n_values (nearest rank). Null keys form a key of their own; a key without
     values has null total and percentiles; an empty df gives no rows. Ties and
@@ -56,7 +57,7 @@ def keyed_stats(df: DataFrame, fields: dict[str, Column], value: str, percents:
     totals = cells.groupBy(*key).agg(
         F.sum("n").alias("n"),
         F.coalesce(F.sum(F.when(F.col("code").isNotNull(), F.col("n"))), F.lit(0)).alias("n_values"),
-        F.sum("total").cast("bigint").alias("total"),
+        F.sum("total").alias("total"),
     )
     ranked = totals.where("n_values > 0").select(
         *key, F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent"), "n_values"

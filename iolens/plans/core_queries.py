@@ -17,7 +17,7 @@ def _key_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_key_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _key_stats(spark, d)
+    return _key_stats(spark, d).withColumn("total", F.expr("try_cast(total as bigint)"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -51,7 +51,7 @@ def _view(spark: SparkSession, d: str, by: str, preset=POSIX, derived: bool = Tr
 
 
 def scan_events(spark, d):
-    return T.traces(spark, d, HOUR).select("cat", "func_name", "pid", "tid", "time_start", "time", "size", "file_name", "proc_name", "io_cat", "time_range", "time_end")
+    return T.traces(spark, d, HOUR).select("cat", "func_name", "pid", "tid", "time_start", "time", "size", "file_name", "proc_name", F.col("io_cat").cast("int").alias("io_cat"), "time_range", "time_end")
 
 
 def scan_payloads(spark, d):
@@ -356,7 +356,7 @@ RULES = [
 
 
 def _fact_rows(f: DataFrame) -> DataFrame:
-    return f.select("fact_id", "fact_type", "scope.entity", "window.time_bucket", "window.t0_ns", r("severity.score").alias("score"), "severity.label", "confidence", F.get("opportunity_tags", F.lit(0)).alias("tag"))
+    return f.select("fact_id", "fact_type", "scope.entity", "window.time_bucket", "window.t0_ns", "window.t1_ns", r("severity.score").alias("score"), "severity.label", "confidence", F.get("opportunity_tags", F.lit(0)).alias("tag"))
 
 
 def rule_facts_detail(spark, d):

@@ -110,8 +110,8 @@ def frames(raw: DataFrame, width: int, profile_bucket: int = P.BUCKET) -> TraceF
     names = dictionaries(raw)
     profiles = None
     if row["prof"]:
-        c = raw.where(counter).select("cat", "name", "pid", "tid", "ts", F.col("dur").alias("_top_dur"), "args.*")
-        c = c.withColumns({"file_hash": F.col("fhash"), "host_hash": F.col("hhash"), "dur": F.coalesce("dur", "_top_dur")}).drop("value", "_top_dur")
+        c = raw.where(counter).select("cat", "name", "pid", "tid", "ts", F.col("dur").alias("_top_dur"), *[f"args.{n}" for n in raw.schema["args"].dataType.names if n not in ("name", "value")])
+        c = c.withColumns({"file_hash": F.col("fhash"), "host_hash": F.col("hhash"), "dur": F.coalesce("dur", "_top_dur")}).drop("_top_dur")
         c = N.attach_names(c, names["files"], names["hosts"])
         shifted = P.standard(c, profile_bucket)
         profiles = P.coalesced(shifted.withColumn("time_range", N.bucket(F.col("time_start"), N.aligned_origin(row["least"], profile_bucket), profile_bucket)))
