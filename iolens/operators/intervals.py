@@ -36,7 +36,9 @@ def _blocks(spans: DataFrame, keys: list[str], top: int) -> DataFrame:
     a = "shiftright(start + shiftleft(1L, l) - 1, l)"
     b = "shiftright(stop, l)"
     pair = f"filter(array(if({a} % 2 != 0, {a}, null), if({b} % 2 != 0, {b} - 1, null)), x -> x is not null and {a} < {b})"
-    low = f"flatten(transform(sequence(0, {top - 1}), l -> transform({pair}, x -> struct(l as level, x as idx))))"
+    # no block is longer than its span
+    levels = f"sequence(0, least({top - 1}, cast(log2(greatest(cast(stop as double) - start, 1)) as int) + 1))"
+    low = f"flatten(transform({levels}, l -> transform({pair}, x -> struct(l as level, x as idx))))"
     ta, tb = f"shiftright(start + {2**top - 1}L, {top})", f"shiftright(stop, {top})"
     whole = f"if({ta} < {tb}, transform(sequence({ta}, greatest({ta}, {tb} - 1)), x -> struct({top} as level, x as idx)), array())"
     every = f"if(start = stop, array(struct(-1 as level, start as idx)), concat({low}, {whole}))"
@@ -133,7 +135,7 @@ def chunk_periods(spans: DataFrame, keys: list[str], least: int = TOP) -> DataFr
     nulls in keys form keys of their own). Result: keys, chunk, start, stop,
     before. Written once to the shared folder, as it is used more than once.
     """
-    spans = spans.select(*keys, "start", "stop")
+    spans = written(spans.select(*keys, "start", "stop"), "spans")  # read twice
     top = chunk_level(spans, least)
     own = F.when(F.col("level") < 0, F.shiftright("idx", top)).otherwise(F.expr(f"shiftright(shiftleft(idx, greatest(level, 0)), {top})"))
     blocks = _blocks(spans, keys, top).withColumn("chunk", own)

@@ -18,6 +18,7 @@ from iolens.operators import normalize as N
 from iolens.presets import Layer, Preset
 
 DETAIL = ["cat", "io_cat", "acc_pat", "func_name"]
+#: Expressions are given as SQL text: a wide view has hundreds, and each text is one call to the JVM.
 _SQUARE = "cast({0} as decimal(38,0)) * {0}"
 
 
@@ -46,13 +47,14 @@ def metrics(preset: Preset, derived: bool = True) -> list[Metric]:
 def hlm(traces: DataFrame, view_types: list[str]) -> DataFrame:
     """High-level metrics: the finest grain of analysis. Rows with a null key are left out; 0 becomes null."""
     keys = hlm_keys(view_types)
-    rows = traces.dropna(subset=keys).withColumns({c: b for c, b in zip([f"size_bin_{n}" for n in S.SIZE_BINS], N.size_bins(F.col("size")), strict=True)})
-    sums = [F.sum(c) for c in ("time", "count", "size", *[f"size_bin_{n}" for n in S.SIZE_BINS])]
-    names = ["time", "count", "size", *[f"size_bin_{n}" for n in S.SIZE_BINS]]
+    sums = {c: f"sum({c})" for c in ("time", "count", "size")}
+    edges = [None, *S.SIZE_EDGES, None]
+    for n, lo, hi in zip(S.SIZE_BINS, edges, edges[1:], strict=False):
+        inside = " and ".join([f"size > {lo}"] * (lo is not None) + [f"size <= {hi}L"] * (hi is not None))
+        sums[f"size_bin_{n}"] = f"count_if({inside})"
     for m in ("time", "size"):
-        sums += [F.sum(F.expr(_SQUARE.format(m))), F.min(m), F.max(m)]
-        names += [f"{m}_sq", f"{m}_call_min", f"{m}_call_max"]
-    return rows.groupBy(*keys).agg(*[N.not_zero(s).alias(n) for s, n in zip(sums, names, strict=True)])
+        sums |= {f"{m}_sq": f"sum({_SQUARE.format(m)})", f"{m}_call_min": f"min({m})", f"{m}_call_max": f"max({m})"}
+    return traces.dropna(subset=keys).groupBy(*keys).agg(*[F.expr(f"nullif({e}, 0) as {n}") for n, e in sums.items()])
 
 
 def hlm_keys(view_types: list[str]) -> list[str]:
@@ -71,25 +73,22 @@ def main_view(detail: DataFrame, view_types: list[str], which: list[Metric], bin
     """
     aggs: list[Column] = []
     for m in which:
-        pick = (lambda c, w=m.where: F.expr(f"case when {w} then {c} end")) if m.where else F.col
-        add = lambda how, c, m=m, pick=pick: aggs.append(N.not_zero(how(pick(c))).alias(m.col(c)))
-        add(F.sum, "time")
-        add(F.sum, "count")
-        for c in ["size", *[f"size_bin_{n}" for n in S.SIZE_BINS] * bins] * m.sized:
-            add(F.sum, c)
+        add = lambda how, c, m=m: aggs.append(F.expr(f"nullif({how}({f'case when {m.where} then {c} end' if m.where else c}), 0) as {m.col(c)}"))
+        for c in ["time", "count", *["size", *[f"size_bin_{n}" for n in S.SIZE_BINS] * bins] * m.sized]:
+            add("sum", c)
         for base in ("time", "size")[: 1 + m.sized] if calls else ():
-            add(F.sum, f"{base}_sq")
-            add(F.min, f"{base}_call_min")
-            add(F.max, f"{base}_call_max")
+            add("sum", f"{base}_sq")
+            add("min", f"{base}_call_min")
+            add("max", f"{base}_call_max")
     rows = detail.groupBy(*with_proc(view_types)).agg(*aggs)
-    rows = rows.where(F.coalesce(*[F.col(m.col("count")) for m in which]).isNotNull())
+    rows = rows.where(f"coalesce({', '.join(m.col('count') for m in which)}, null) is not null")
     ratios = {}
     for m in which:
-        seconds = F.col(m.col("time")) / S.TICKS
-        ratios[m.col("ops")] = F.try_divide(m.col("count"), seconds)
+        t, n, z = m.col("time"), m.col("count"), m.col("size")
+        ratios[m.col("ops")] = F.expr(f"try_divide({n}, {t} / {S.TICKS})")
         if m.sized:
-            size = F.when(F.col(m.col("size")) > 0, F.col(m.col("size")))
-            ratios |= {m.col("size"): size, m.col("bw"): F.try_divide(size, seconds), m.col("intensity"): F.try_divide(m.col("count"), size)}
+            size = f"(case when {z} > 0 then {z} end)"
+            ratios |= {z: F.expr(size), m.col("bw"): F.expr(f"try_divide({size}, {t} / {S.TICKS})"), m.col("intensity"): F.expr(f"try_divide({n}, {size})")}
     return rows.withColumns(ratios)
 
 
@@ -104,38 +103,32 @@ def view(main: DataFrame, by: str, which: list[Metric], bins: bool = False, call
     its statistics, unless zero_fill.
     """
     proc = [by, "proc_name"] if by != "proc_name" else [by]
-    inner, outer, post = [], [], {}
+    inner, outer = [], []
+    hows = {"sum": "sum", **({"proc_min": "min", "proc_max": "max", "proc_mean": "avg", "proc_std": "stddev_samp"} if stats else {})}
     for m in which:
         for b in _bases(m):
             c = m.col(b)
-            s = F.sum(c)
-            inner.append((F.coalesce(s, F.lit(0)) if zero_fill else s).alias(c))
-            scale = S.TICKS if b == "time" else 1
-            outer.append(F.sum(c).alias(f"{c}_sum"))
-            if stats:
-                outer += [F.min(c).alias(f"{c}_proc_min"), F.max(c).alias(f"{c}_proc_max"), F.avg(c).alias(f"{c}_proc_mean"), F.stddev_samp(c).alias(f"{c}_proc_std")]
-            if scale > 1:
-                for suffix in ["_sum", *["_proc_min", "_proc_max", "_proc_mean", "_proc_std"] * stats]:
-                    post[c + suffix] = F.col(c + suffix) / scale
+            inner.append(f"coalesce(sum({c}), 0) as {c}" if zero_fill else f"sum({c}) as {c}")
+            scaled = "nullif({} / %d, 0)" % S.TICKS if b == "time" else "{}"
+            outer += [f"{scaled.format(f'{how}({c})')} as {c}_{name}" for name, how in hows.items()]
         for c in [m.col(f"size_bin_{n}") for n in S.SIZE_BINS] if bins and m.sized else ():
-            inner.append(F.sum(c).alias(c))
-            outer.append(N.not_zero(F.sum(c)).alias(c))
+            inner.append(f"sum({c}) as {c}")
+            outer.append(f"nullif(sum({c}), 0) as {c}")
         for base in ("time", "size")[: 1 + m.sized] if calls else ():
-            for suffix, how in (("sq", F.sum), ("call_min", F.min), ("call_max", F.max)):
-                inner.append(how(m.col(f"{base}_{suffix}")).alias(m.col(f"{base}_{suffix}")))
-                outer.append(how(m.col(f"{base}_{suffix}")).alias(m.col(f"{base}_{suffix}")))
-    out = main.groupBy(*proc).agg(*inner).groupBy(by).agg(*outer)
-    if calls:
-        for m in which:
-            for base in ("time", "size")[: 1 + m.sized]:
-                out = call_stats(out, m, base)
-    return out.withColumns({c: N.not_zero(v) for c, v in post.items()})
+            for suffix, how in (("sq", "sum"), ("call_min", "min"), ("call_max", "max")):
+                for level in (inner, outer):
+                    level.append(f"{how}({m.col(f'{base}_{suffix}')}) as {m.col(f'{base}_{suffix}')}")
+    out = main.groupBy(*proc).agg(*map(F.expr, inner)).groupBy(by).agg(*map(F.expr, outer))
+    for m in which if calls else ():
+        for base in ("time", "size")[: 1 + m.sized]:
+            out = call_stats(out, m, base)
+    return out
 
 
 def call_stats(df: DataFrame, m: Metric, base: str) -> DataFrame:
     """<base>_call_mean and _call_std (population) from sums and sums of squares; bounds of time in seconds."""
-    n, total, sq = F.col(m.col("count_sum")), F.col(m.col(f"{base}_sum")), F.col(m.col(f"{base}_sq"))
     scale = S.TICKS if base == "time" else 1
+    n, total, sq = F.col(m.col("count_sum")), F.col(m.col(f"{base}_sum")) * scale, F.col(m.col(f"{base}_sq"))
     mean = F.try_divide(total, n)
     spread = F.try_divide(sq.cast("double"), n) - mean * mean
     out = {m.col(f"{base}_call_mean"): mean / scale, m.col(f"{base}_call_std"): F.when(spread.isNotNull(), F.sqrt(F.greatest(spread, F.lit(0.0)))) / scale}
