@@ -14,12 +14,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from iolens.functions.arrow import starts
 from iolens.runtime import written
 
+#: Rows a task merges at once; whole chunks of time are kept together.
+ROWS = 200_000
+
 #: The usual chunk: 2**30 µs, about 18 minutes.
 TOP = 30
 
@@ -48,16 +52,10 @@ def _blocks(spans: DataFrame, keys: list[str], top: int) -> DataFrame:
 def _merge(keys: list[str], top: int):
     """Over rows sorted by keys and chunk: the periods of each chunk, whole chunks at a time."""
 
-    def periods(pdf: pd.DataFrame) -> pd.DataFrame:
-        new = np.zeros(len(pdf), bool)
-        for k in [*keys, "chunk"]:
-            v = pdf[k]
-            same = (v == v.shift()) | (v.isna() & v.shift().isna())
-            new |= ~same.to_numpy(dtype=bool, na_value=False)
-        new[0] = True
-        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-        chunk = pdf["chunk"].to_numpy(np.int64)
-        level, idx = pdf["level"].to_numpy(np.int64), pdf["idx"].to_numpy(np.int64)
+    def periods(tab: pa.Table) -> pa.Table:
+        first = starts(tab, [*keys, "chunk"])
+        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, tab.num_rows]))
+        chunk, level, idx = (tab[c].to_numpy().astype(np.int64) for c in ("chunk", "level", "idx"))
         point = level < 0
         lev = np.where(point, 0, level)
         rel = (idx << lev) - (chunk << top)
@@ -97,33 +95,27 @@ def _merge(keys: list[str], top: int):
         last = np.r_[at[1:], len(start)] - 1
         g = grp[at]
         origin = (chunk[first[g]] << top) - (g << top)
-        out = pdf[[*keys, "chunk"]].iloc[first[g]].reset_index(drop=True)
-        out["start"], out["stop"] = start[at] + origin, reach[last] + origin
         heads = np.r_[True, g[1:] != g[:-1]]
-        before = np.r_[0, out["stop"].to_numpy()[:-1]]
-        out["before"] = pd.array(np.where(heads, 0, before), "Int64")
-        out.loc[heads, "before"] = pd.NA
-        return out
+        start, stop = start[at] + origin, reach[last] + origin
+        out = tab.select([*keys, "chunk"]).take(pa.array(first[g]))
+        before = pa.array(np.r_[0, stop[:-1]], pa.int64(), mask=heads)
+        return out.append_column("start", pa.array(start, pa.int64())).append_column("stop", pa.array(stop, pa.int64())).append_column("before", before)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         size = 0
-        for pdf in batches:
-            held.append(pdf)
-            size += len(pdf)
-            if size < 200_000:
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < ROWS:
                 continue
-            whole = pd.concat(held, ignore_index=True)
-            tail = whole[[*keys, "chunk"]].iloc[-1]
-            same = np.ones(len(whole), bool)
-            for k in tail.index:
-                same &= (whole[k].isna() if pd.isna(tail[k]) else (whole[k] == tail[k])).to_numpy(dtype=bool, na_value=False)
-            cut = len(whole) - (int(np.argmax(~same[::-1])) if not same.all() else len(whole))
+            whole = pa.Table.from_batches(held).combine_chunks()
+            cut = int(starts(whole, [*keys, "chunk"])[-1])
             if cut:
-                yield periods(whole.iloc[:cut].reset_index(drop=True))
-            held, size = [whole.iloc[cut:].reset_index(drop=True)], len(whole) - cut
+                yield from periods(whole.slice(0, cut)).combine_chunks().to_batches()
+            held, size = whole.slice(cut).to_batches(), whole.num_rows - cut
         if size:
-            yield periods(pd.concat(held, ignore_index=True))
+            yield from periods(pa.Table.from_batches(held).combine_chunks()).combine_chunks().to_batches()
 
     return run
 
@@ -141,7 +133,7 @@ def chunk_periods(spans: DataFrame, keys: list[str], least: int = TOP) -> DataFr
     blocks = _blocks(spans, keys, top).withColumn("chunk", own)
     order = [*keys, "chunk"]
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spans.schema if f.name in keys)
-    done = blocks.repartition(*order).sortWithinPartitions(*order).mapInPandas(_merge(keys, top), f"{kinds}, chunk bigint, start bigint, stop bigint, before bigint")
+    done = blocks.repartition(*order).sortWithinPartitions(*order).mapInArrow(_merge(keys, top), f"{kinds}, chunk bigint, start bigint, stop bigint, before bigint")
     return written(done.withColumn("top", F.lit(top)), "periods")
 
 

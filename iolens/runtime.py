@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,21 +41,32 @@ def shared_dir(spark: SparkSession) -> str:
         return jdir.get().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="iolens-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    atexit.register(_remove_local, path)
-    return path
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="iolens-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def _remove_local(path: str) -> None:
-    import shutil
+_made: list[str] = []
 
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+@atexit.register
+def _drop_local() -> None:
+    """At the end of the process, where the shared folder is a mounted one; elsewhere call drop_written."""
+    for path in _made:
+        if path.startswith(("/", "file:")):
+            shutil.rmtree(path.removeprefix("file:").replace("//", "/", 1) if path.startswith("file:") else path, ignore_errors=True)
 
 
 def fresh_dir(spark: SparkSession, tag: str) -> str:
     """A new path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/iolens-{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/iolens-{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes what this process wrote to the shared folder; results that still read it end."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

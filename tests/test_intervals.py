@@ -30,7 +30,8 @@ def both(spark, data, least):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_random_spans_across_chunks(spark, seed):
+def test_random_spans_across_chunks(spark, seed, monkeypatch):
+    monkeypatch.setattr(I, "ROWS", 9)
     rng = random.Random(seed)
     data = []
     for pid, cat in [(1, "a"), (1, None), (None, "a"), (2, "b")]:
