@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from iolens.llm.runs import changes
+from iolens.functions.arrow import changes
 from iolens.runtime import written
 
 #: A list of two bytes each up to here, bits beyond: both take 8 KB at most.

@@ -19,19 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from iolens.functions.arrow import changes
 from iolens.runtime import written
 
 
-def changes(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Whether each value but the first differs from the one before; null equals null."""
-    n = len(col)
-    if n < 2:
-        return np.zeros(0, bool)
-    ne = pc.fill_null(pc.not_equal(col.slice(1), col.slice(0, n - 1)), True)
-    null = np.asarray(pc.is_null(col))
-    return np.asarray(ne) & ~(null[1:] & null[:-1])
-
-
 def _collapse(entity: list[str], like: list[str], out: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
