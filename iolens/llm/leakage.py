@@ -179,14 +179,21 @@ def verbatim(pairs: DataFrame) -> DataFrame:
 
 
 def reparameterised(pairs: DataFrame) -> DataFrame:
-    """doc_id, n_items, item_id, n_windows: documents holding an item's template with other values.
+    """doc_id, item_id, n_windows: every document and item whose template it holds with other values.
 
     A window counts if its slots map one-to-one onto the item's and at least
-    one differs. One row per document: the number of items it matches so, and
-    the item with most such windows (the lowest id of several).
+    one differs. Pairs that are also verbatim leaks elsewhere are kept.
     """
     zipped = F.size(F.array_distinct(F.arrays_zip("codes", "item_codes")))
     renamed = pairs.where((zipped == F.size(F.array_distinct("codes"))) & (zipped == F.size(F.array_distinct("item_codes"))) & F.expr("codes != item_codes"))
-    each = renamed.groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("n_windows"))
+    return renamed.groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("n_windows"))
+
+
+def best_items(each: DataFrame) -> DataFrame:
+    """doc_id, n_items, item_id, n_windows: one row per document of reparameterised().
+
+    The number of items it matches, and the item with most windows (the lowest
+    id of several).
+    """
     best = F.max(F.struct("n_windows", (-F.col("item_id")).alias("i"))).alias("b")
     return each.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), best).select("doc_id", "n_items", (-F.col("b.i")).alias("item_id"), "b.n_windows")

@@ -33,6 +33,11 @@ def p9_reparameterised(spark: SparkSession, d: str) -> DataFrame:
     return leakage.reparameterised(_pairs(spark, d))
 
 
+def p9_reparameterised_best(spark: SparkSession, d: str) -> DataFrame:
+    """The best item per document, a summary of p9_reparameterised."""
+    return leakage.best_items(leakage.reparameterised(_pairs(spark, d)))
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return abuse.score_documents(docs, abuse.fit(*abuse.rated(docs, table(spark, d, "doc_labels"))))
@@ -52,7 +57,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).groupBy("source").agg(n.alias("n_docs"), k.alias("n_flagged"), F.try_divide(k, n).alias("rate"))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p8_source_tokens, p9_found, p9_reparameterised, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p8_ids, p8_source_tokens, p9_found, p9_reparameterised, p9_reparameterised_best, p10_found, p10_scores, p10_rates)}
 
 _GONE = "chr(173) || chr(8203) || chr(8204) || chr(8205) || chr(8288) || chr(65279)"
 _WORDS = f"regexp_extract_all(lower(regexp_replace(text, '[' || {_GONE} || ']', '', 'g')), '[\\p{{L}}\\p{{N}}]+')"

@@ -101,6 +101,20 @@ def test_renamed_slots_are_reported_apart(spark):
     assert exact == [(2, 0)] and renamed[0]["n_windows"] > renamed[1]["n_windows"] if 1 in renamed else 0 in renamed
 
 
+def test_every_renamed_item_of_a_document_comes_out(spark):
+    base = "if a farmer trades five wagons for seven barrels and keeps five wagons how many barrels remain after that day"
+    items = [base, base.replace("five", "nine"), "when the old baker sells two loaves to three guests and gives two loaves away what is then left over"]
+    doc = base.replace("five", "12").replace("seven", "40") + " . " + items[2].replace("two", "6").replace("three", "8") + " . " + items[2]
+    d = spark.createDataFrame([(1, doc), (2, items[2])], "doc_id bigint, text string")
+    e = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    each = L.reparameterised(L.matching_windows(d, e))
+    got = rows(each, "doc_id", "item_id")
+    assert got == [(1, 0), (1, 1), (1, 2)]
+    n = {r["item_id"]: r["n_windows"] for r in each.collect()}
+    best = min(n, key=lambda i: (-n[i], i))
+    assert rows(L.best_items(each)) == [(1, 3, best, n[best])]
+
+
 @pytest.mark.parametrize(
     ("a", "b"),
     [("stupid fool", "$tup1d f00l"), ("stupid fool", "s t u p i d fool"), ("stupid fool", "stuuupid foool"), ("stupid fool", "ѕtuріd fооl"), ("stupid fool", "stu​pid FOOL"), ("stupid fool", "stupid_fool"), ("stupid fool", "StupidFool"), ("cretin", "crétin"), ("mother", "m_o_t_h_e_r")],
