@@ -48,8 +48,9 @@ def parse_lines(payloads: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     continue
                 args = o.get("args")
                 host = args.get("hhash") if isinstance(args, dict) else None
-                rows.append((file_id, line_no, host if host is None or isinstance(host, str) else json.dumps(host), _whole(o.get("pid")), _whole(o.get("id")), text))
-        out = pd.DataFrame(rows, columns=["file_id", "line_no", "host_hash", "pid", "record_id", "line"])
+                key = (host if host is None or isinstance(host, str) else json.dumps(host), _whole(o.get("pid")), _whole(o.get("id")))
+                rows.append((file_id, line_no, *key, text if None in key else None, text))
+        out = pd.DataFrame(rows, columns=["file_id", "line_no", "host_hash", "pid", "record_id", "lone", "line"])
         yield out.astype({"file_id": "Int64", "line_no": "Int64", "pid": "Int64", "record_id": "Int64"})
 
 
@@ -61,13 +62,15 @@ def distinct_records(files: DataFrame) -> DataFrame:
     """Every distinct record of the payloads: file_id, host_hash, pid, record_id, line.
 
     The key is the record's own args.hhash, pid and id; parts that are missing
-    or of another type are null and equal each other. Of several lines with one
-    key the one in the lowest (file_id, line number) stays. Null or empty
-    payloads and lines that aren't one complete JSON object give nothing.
+    or of another type are null. A record with such a part is told from others
+    by its whole line (without blanks at both ends and the comma after it). Of
+    several lines with one key the one in the lowest (file_id, line number)
+    stays. Null or empty payloads and lines that aren't one complete JSON
+    object give nothing.
     """
-    kinds = "file_id bigint, line_no bigint, host_hash string, pid bigint, record_id bigint, line string"
+    kinds = "file_id bigint, line_no bigint, host_hash string, pid bigint, record_id bigint, lone string, line string"
     parsed = files.select("file_id", "payload").where("payload is not null").mapInPandas(parse_lines, kinds)
-    kept = parsed.groupBy("host_hash", "pid", "record_id").agg(F.min(F.struct("file_id", "line_no", "line")).alias("r"))
+    kept = parsed.groupBy("host_hash", "pid", "record_id", "lone").agg(F.min(F.struct("file_id", "line_no", "line")).alias("r"))
     return kept.select("r.file_id", "host_hash", "pid", "record_id", "r.line")
 
 

@@ -25,6 +25,15 @@ def test_every_record_once_whatever_the_lines_look_like(spark):
     assert all(json.loads(r["line"]) for r in got.collect())
 
 
+def test_records_without_a_whole_key_are_told_apart_by_their_lines(spark):
+    lines = [json.dumps({"pid": 1, "args": {"hhash": "h"}, "ts": t} | more) for t in (1, 2) for more in ({}, {"id": "7"}, {"id": 7.5}, {"id": None})]
+    lines += ['{"id": 3, "args": {"hhash": "h"}, "ts": 1}', '{"id": 3, "pid": 1, "ts": 1}', '{"id": 3, "pid": 1, "ts": 2}']
+    payloads = ["[\n" + ",\n".join(lines) + "\n]", "\n".join(f"  {x} ," for x in reversed(lines))]
+    folder = C.compact(spark.createDataFrame([(i, p, 5, "clash") for i, p in enumerate(payloads)], KINDS))
+    assert rows(C.read_compacted(spark, folder), "line") == [(x,) for x in sorted(lines)]
+    assert sum(m["n_records"] for m in C.read_manifest(folder)) == len(lines)
+
+
 def test_groups_are_balanced_and_the_manifest_holds_every_record(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(i, "\n".join(line("h", i, j, pad="p" * rng.randrange(200)) for j in range(rng.randrange(30))), 0, "") for i in range(60)], KINDS)
