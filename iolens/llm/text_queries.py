@@ -15,10 +15,8 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_source_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Documents, tokens and the longest document per source."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    n = tokens.encode_corpus(docs).select("doc_id", F.size("ids").cast("bigint").alias("n"))
-    whole = docs.select("doc_id", "source").join(n, "doc_id")
-    return whole.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
+    n = tokens.encode_corpus(table(spark, d, "documents"), carried=("source",)).select("source", F.size("ids").cast("bigint").alias("n"))
+    return n.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:

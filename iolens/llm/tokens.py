@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from iolens.llm import textscan as ts
 
@@ -214,9 +215,11 @@ class Encoder:
         return self.ids[ts.spread(first, n)], np.bincount(owner, n, len(texts)).astype(np.int64)
 
 
-def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ids (array<int>) of every row, without special tokens, whose strings are ordinary text.
 
+    The columns named in `carried` follow as they are.
+
     Null and empty texts have the empty list. Texts are whole, however long;
     repeated and null doc_ids are kept. The vocabulary file is read on the
     driver and sent to the executors (about 1.5 MB, as large as the vocabulary).
@@ -234,7 +237,8 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
                 part = texts.slice(at, 1000)
                 ids, counts = encoder.encode(part.to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), lists], names=["doc_id", "ids"])
+                more = [c.slice(at, 1000) for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), lists, *more], names=["doc_id", "ids", *carried])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    kinds = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField(c, docs.schema[c].dataType) for c in carried]])
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *carried).mapInArrow(run, kinds)

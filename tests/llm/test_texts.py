@@ -6,6 +6,7 @@ import pytest
 
 from iolens.llm import abuse as A
 from iolens.llm import leakage as L
+from iolens.llm import text_queries as Q
 from iolens.llm import textscan as ts
 from iolens.llm import tokens as T
 
@@ -36,6 +37,15 @@ def test_ids_equal_the_library_and_decode_to_the_text(spark):
     assert T.encode_corpus(df.where("false")).count() == 0
 
 
+@has_vocabulary
+def test_tokens_of_a_source_count_rows_with_null_and_equal_ids(spark, tmp_path):
+    texts = [(None, "a", "the cat sat"), (None, "a", "on a mat"), (1, "a", "the cat"), (1, "a", "the cat"), (1, "b", "mat"), (2, None, None)]
+    spark.createDataFrame(texts, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    _, n = T.Encoder(open(T.VOCABULARY, "rb").read()).encode([t for _, _, t in texts])
+    want = [(None, 1, 0, 0), ("a", 4, int(n[:4].sum()), int(n[:4].max())), ("b", 1, int(n[4]), int(n[4]))]
+    assert rows(Q.p8_source_tokens(spark, str(tmp_path))) == want
+
+
 @has_vocabulary
 def test_kept_words_are_bounded(monkeypatch):
     monkeypatch.setattr(T, "KEPT_WORDS", 3)
