@@ -1,7 +1,7 @@
 """Passages of evaluation items inside corpus documents.
 
-Method: template canonicalisation. Numbers, units and names are replaced by
-typed placeholders, windows of WINDOW canonical words are hash-joined between
+Method: template canonicalisation. Numbers, units and all words but function
+words are replaced by typed placeholders, windows of WINDOW canonical words are hash-joined between
 corpus and items, and the slots of matching windows are compared: all equal is
 a verbatim leak, a one-to-one renaming is a re-parameterised question. The
 placeholder is a function of the word alone, so equal word windows always have
@@ -10,7 +10,6 @@ equal templates and no verbatim leak is missed.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +35,18 @@ UNIT_WORDS = (
     "litre litres gallon gallons degree degrees percent dollar dollars euro euros cent cents byte bytes kb mb gb copies crates pieces items"
 ).split()
 NUM, UNIT, NAME, LITERAL = 1, 2, 3, 16
-#: A word is taken for a name where at least so many words fill the same place between two neighbours.
+#: Words that carry a sentence's form; each is always itself in a template.
+FUNCTION_WORDS = (
+    "a an the this that these those some any no each every either neither both all many much more most few less another other such same what which who whom "
+    "whose when where why how if unless then else otherwise than because since while until before after as so though although whether and or nor but not of in on "
+    "at by for from to into onto over under within without between through toward towards upon about above below beside beneath against along around with during "
+    "per out up down off i you he she it we they me him us them my your his her its our their is are was were be been being am do does did done has have had "
+    "having can could may might must shall should will would there here now only also too very just"
+).split()
+#: A word is a learned name where at least so many words fill the same place between two neighbours.
 FILLERS = 4
+#: Of a window's content words that are no number, unit or learned name at most one in so many may differ; else the form alone would match.
+KEPT = 3
 
 
 @dataclass
@@ -84,24 +93,44 @@ def plain_words(text: str) -> list[str]:
     return ["".join(map(chr, points[a:b])) for a, b in zip(starts, ends, strict=True)]
 
 
-def build_lexicon(items: list[str]) -> Lexicon:
-    """Words of the items with their placeholders; names are learned from places with many fillers."""
-    texts = [plain_words(t) for t in items]
-    spread = Counter(w for t in texts for w in set(t))
-    places = defaultdict(set)
-    for t in texts:
-        for a, w, b in zip(t, t[1:], t[2:], strict=False):
-            places[a, b].add(w)
-    names = {w for found in places.values() if len(found) >= FILLERS for w in found if spread[w] <= max(2, len(texts) // 3)}
-    numbers, units = set(NUMBER_WORDS), set(UNIT_WORDS)
-    vocabulary = sorted({*spread, *numbers, *units})
-    kinds = [NUM if w in numbers else UNIT if w in units else NAME if w in names else LITERAL + i for i, w in enumerate(vocabulary)]
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word of a text once without neighbours, and each word between two neighbours."""
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            t = plain_words(text)
+            found = [(w, None, None) for w in sorted(set(t))] + list(zip(t[1:], t, t[2:], strict=False))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(3)], names=["word", "before", "after"])
+
+
+def learned_names(items: DataFrame) -> set[str]:
+    """Words of all items that share a place between two neighbours with FILLERS words and are in a third of the items at most."""
+    texts = items.where("text is not null").select(F.col("text").cast("string"))
+    seen = texts.mapInArrow(_places, "word string, before string, after string")
+    rare = seen.where("before is null").groupBy("word").count().where(F.col("count") <= max(2, texts.count() // 3))
+    fillers = seen.where("before is not null").distinct()
+    wide = fillers.groupBy("before", "after").count().where(F.col("count") >= FILLERS)
+    names = fillers.join(wide, ["before", "after"], "left_semi").select("word").distinct().join(rare, "word", "left_semi")
+    return {r["word"] for r in names.toLocalIterator()}
+
+
+def build_lexicon(items: list[str], names: set[str] | None = None) -> tuple[Lexicon, np.ndarray]:
+    """Words of the items with their placeholders, and the codes of the content words that aren't learned names.
+
+    Without names only verbatim leaks matter, and every word that is no number
+    or unit is itself; otherwise that holds for function words alone, and any
+    other word is a placeholder.
+    """
+    numbers, units, form = set(NUMBER_WORDS), set(UNIT_WORDS), set(FUNCTION_WORDS)
+    vocabulary = sorted({w for t in items for w in plain_words(t)} | numbers | units | form)
+    literal = [names is None or w in form and w not in names for w in vocabulary]
+    kinds = [NUM if w in numbers else UNIT if w in units else LITERAL + i if literal[i] else NAME for i, w in enumerate(vocabulary)]
+    own = [i for i, w in enumerate(vocabulary) if kinds[i] == NAME and w not in names]
     points, _ = ts.code_points(vocabulary)
     sizes = np.array([len(w) for w in vocabulary])
     ends = np.cumsum(sizes + 1) - 1
     h = ts.run_hashes(points, ends - sizes, ends)
     order = np.argsort(h)
-    return Lexicon(h[order], order.astype(np.int64), np.array(kinds, np.int64)[order])
+    return Lexicon(h[order], order.astype(np.int64), np.array(kinds, np.int64)[order]), np.array(own, np.int64)
 
 
 def windows(words: Words, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -134,8 +163,11 @@ def _item_blocks(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
         yield ids, texts
 
 
-def matching_windows(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, place, codes and item_id, item_codes of window pairs with one template.
+def matching_windows(docs: DataFrame, items: DataFrame, size: int = WINDOW, renamed: bool = True) -> DataFrame:
+    """doc_id, place, codes and item_id, item_codes, item_own of window pairs with one template.
+
+    item_own: places in the window whose word is a content word and no number,
+    unit or learned name. Without `renamed` the pairs suffice for verbatim leaks only.
 
     docs: doc_id, text; items: item_id, text (both bigint ids; further columns
     are ignored). Words are maximal runs of letters and digits, lower-cased,
@@ -146,12 +178,15 @@ def matching_windows(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> D
     spark = docs.sparkSession
     kinds = "doc_id bigint, place int, template bigint, codes array<bigint>"
     out = None
+    names = learned_names(items) if renamed else None
     for ids, texts in _item_blocks(items):
-        lexicon = build_lexicon(texts)
+        lexicon, literal = build_lexicon(texts, names)
         words = words_of(texts, lexicon)
         at, template = windows(words, size)
         own = pa.Table.from_batches([_window_batch(pa.array(ids, pa.int64()), words, at, template, "item_id", size)])
-        side = spark.createDataFrame(own.rename_columns(["item_id", "item_place", "template", "item_codes"]))
+        kept = np.isin(words.code, literal)[ts.spread(at, np.full(len(at), size))].reshape(-1, size) & (words.kind[at[:, None] + np.arange(size)] != NUM)
+        places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept.sum(1))], pa.int32()), pa.array(np.nonzero(kept)[1], pa.int32()))
+        side = spark.createDataFrame(own.rename_columns(["item_id", "item_place", "template", "item_codes"]).append_column("item_own", places))
         sent = spark.sparkContext.broadcast((lexicon, np.unique(template)))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -169,7 +204,7 @@ def matching_windows(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> D
         found = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("text is not null").mapInArrow(scan, kinds)
         pairs = found.join(F.broadcast(side), "template")  # bounded by ITEM_BLOCK
         out = pairs if out is None else out.unionByName(pairs)
-    return out if out is not None else spark.createDataFrame([], "template bigint, doc_id bigint, place int, codes array<bigint>, item_id bigint, item_place int, item_codes array<bigint>")
+    return out if out is not None else spark.createDataFrame([], "template bigint, doc_id bigint, place int, codes array<bigint>, item_id bigint, item_place int, item_codes array<bigint>, item_own array<int>")
 
 
 def verbatim(pairs: DataFrame) -> DataFrame:
@@ -181,11 +216,12 @@ def verbatim(pairs: DataFrame) -> DataFrame:
 def reparameterised(pairs: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows: every document and item whose template it holds with other values.
 
-    A window counts if its slots map one-to-one onto the item's and at least
-    one differs. Pairs that are also verbatim leaks elsewhere are kept.
+    A window counts if its slots map one-to-one onto the item's, at least one
+    differs, and of the content words that are no number, unit or learned name
+    at most one in KEPT does. Pairs that are also verbatim leaks elsewhere are kept.
     """
     zipped = F.size(F.array_distinct(F.arrays_zip("codes", "item_codes")))
-    renamed = pairs.where((zipped == F.size(F.array_distinct("codes"))) & (zipped == F.size(F.array_distinct("item_codes"))) & F.expr("codes != item_codes"))
+    renamed = pairs.where((zipped == F.size(F.array_distinct("codes"))) & (zipped == F.size(F.array_distinct("item_codes"))) & F.expr("codes != item_codes") & F.expr(f"{KEPT} * size(filter(item_own, i -> codes[i] != item_codes[i])) <= size(item_own)"))
     return renamed.groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("n_windows"))
 
 

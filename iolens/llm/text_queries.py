@@ -19,12 +19,12 @@ def p8_source_tokens(spark: SparkSession, d: str) -> DataFrame:
     return n.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"), F.max("n").alias("longest"))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.matching_windows(table(spark, d, "documents"), table(spark, d, "eval_items"))
+def _pairs(spark: SparkSession, d: str, renamed: bool = True) -> DataFrame:
+    return leakage.matching_windows(table(spark, d, "documents"), table(spark, d, "eval_items"), renamed=renamed)
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.verbatim(_pairs(spark, d)).select("doc_id", "item_id")
+    return leakage.verbatim(_pairs(spark, d, renamed=False)).select("doc_id", "item_id")
 
 
 def p9_reparameterised(spark: SparkSession, d: str) -> DataFrame:

@@ -125,6 +125,32 @@ def test_every_renamed_item_of_a_document_comes_out(spark):
     assert rows(L.best_items(each)) == [(1, 3, best, n[best])]
 
 
+def test_names_without_other_fillers_and_block_by_block(spark, monkeypatch):
+    items = [
+        "when the old baker sells two loaves to three guests and gives two loaves away what is then left over",
+        "a ferry leaves the northern harbor before the storm and the captain asks whether the cargo would reach the island",
+        None,
+    ]
+    docs = [
+        items[0].replace("baker", "Smith").replace("guests", "miners"),
+        items[1].replace("captain", "pilot").replace("harbor", "port"),
+        "when the new parser drops two tokens to three queues and leaves six buffers empty what is then sent on",  # the form alone
+        items[1],
+    ]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    e = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    want = [(0, 0), (1, 1)]
+    assert rows(L.reparameterised(L.matching_windows(d, e)), "doc_id", "item_id") == want
+    monkeypatch.setattr(L, "ITEM_BLOCK", 1)
+    pairs = L.matching_windows(d, e)
+    assert rows(L.reparameterised(pairs), "doc_id", "item_id") == want and rows(L.verbatim(pairs), "doc_id", "item_id") == [(3, 1)]
+    alike = [f"the {w} tailor counts every {x} under the {y} bridge and then the {w} tailor goes home to the {y} tower" for w, x, y in ("abc", "def", "ghi", "jkl", "mno")]
+    e = spark.createDataFrame(list(enumerate(alike)), "item_id bigint, text string")
+    assert {"d", "e", "g", "j"} <= L.learned_names(e)
+    d = spark.createDataFrame([(0, alike[0].replace(" a ", " p ").replace(" b ", " q ").replace(" c ", " r "))], "doc_id bigint, text string")
+    assert rows(L.reparameterised(L.matching_windows(d, e)), "doc_id", "item_id") == [(0, i) for i in range(5)]
+
+
 @pytest.mark.parametrize(
     ("a", "b"),
     [("stupid fool", "$tup1d f00l"), ("stupid fool", "s t u p i d fool"), ("stupid fool", "stuuupid foool"), ("stupid fool", "ѕtuріd fооl"), ("stupid fool", "stu​pid FOOL"), ("stupid fool", "stupid_fool"), ("stupid fool", "StupidFool"), ("cretin", "crétin"), ("mother", "m_o_t_h_e_r")],
