@@ -212,6 +212,14 @@ def view_file_name(spark, d):
     return _stats(_view(spark, d, "file_name"), "file_name", VIEW_PREFIXES, ("time", "count", "size"))
 
 
+def view_posix_prefixes(spark, d):
+    """Statistics of every posix prefix, sizes where a prefix has them."""
+    which = V.metrics(POSIX)
+    v = _view(spark, d, "time_range")
+    cols = [f"{m.col(b)}_{x}" for m in which for b in ("time", "count", *["size"] * m.sized) for x in ("sum", "proc_min", "proc_max", "proc_mean", "proc_std")]
+    return rounded(v.select("time_range", *[F.col(c).cast("double").alias(c) for c in cols]))
+
+
 def view_ratios(spark, d):
     v = _view(spark, d, "time_range")
     return v.select("time_range", r("posix_read_bw_sum", 0).alias("posix_read_bw_sum"), r("posix_ops_sum", 2).alias("posix_ops_sum"), r("posix_ops_proc_max", 4).alias("posix_ops_proc_max"), r("posix_read_intensity_proc_mean", 9).alias("posix_read_intensity_proc_mean"))
@@ -318,6 +326,13 @@ def boundary_parent_frac(spark, d):
     return rounded(v.select("time_range", *[f"{x}_time_{t}_frac_epoch" for x in ("compute", "reader", "posix") for t in ("proc", "call")], *[f"{x}_time_{t}_frac_parent" for x in ("compute", "checkpoint", "reader", "reader_posix") for t in ("proc", "call")]))
 
 
+def derived_frac(spark, d):
+    """Shares of every derived metric of the whole ai preset: of epoch, of its layer and of the total."""
+    preset = replace(AI, boundary="epoch")
+    v = metrics.across_layers(_view(spark, d, "time_range", preset, True, True), preset, "time_range", True)
+    return rounded(v.select("time_range", *[f"{x.name}_{m}_time_{t}_frac_{of}" for x in AI.layers for m in x.derived for t in ("proc", "call") for of in ("epoch", "parent", "total")]))
+
+
 def overhead(spark, d):
     v = _cross(spark, d)
     return rounded(v.select("time_range", *[c for x in ("epoch", "data_loader", "reader") for c in (f"o_{x}_time_proc_max", f"o_{x}_time_sum", f"o_{x}_time_call_frac_self", f"o_{x}_time_call_frac_total")]))
@@ -404,9 +419,9 @@ def stream_tumbling(spark, d):
 _ALL = [
     scan_events, scan_payloads, raw_page, io_category, proc_names, posix_category, size_bins, time_buckets, ignore_filter, layer_filter, logical_keys, hash_lookup_join,
     semi_drilldown, epoch_interval_join, asof_steps, reconcile_anti_join, union_distinct_keys, flat_outer_join, system_left_join, hlm, main_view, derived_metrics, view_time_range,
-    view_proc_name, view_file_name, view_ratios, logical_file_dir, logical_file_pattern, logical_host, nunique, quantile_stats, interval_union, coalesce_profiles,
+    view_proc_name, view_file_name, view_posix_prefixes, view_ratios, logical_file_dir, logical_file_pattern, logical_host, nunique, quantile_stats, interval_union, coalesce_profiles,
     expand_profiles_uniform, expand_profiles_weighted, system_metrics, slice_durations, raw_stats, layer_summary, call_stats, frac_total, ops_slope_percentile,
-    boundary_parent_frac, overhead, unoverlapped, slope_severity, additional_metrics, topk_entities, rule_facts_detail, rule_facts_aggregate, metric_facts, fact_ids, facts_summary,
+    boundary_parent_frac, derived_frac, overhead, unoverlapped, slope_severity, additional_metrics, topk_entities, rule_facts_detail, rule_facts_aggregate, metric_facts, fact_ids, facts_summary,
     auto_layers, stream_tumbling,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

@@ -149,6 +149,12 @@ def _over(own: str, children: list[str], suffix: str) -> str:
     return f"CASE WHEN {own}_{suffix} IS NOT NULL THEN greatest({own}_{suffix} - ({below}), 0) END"
 
 
+def _derived_frac() -> str:
+    of = lambda p, x, s: (("epoch", f"{p}_{s} / nullif(epoch_{s}, 0)"), ("parent", f"{p}_{s} / nullif({x}_{s}, 0)"), ("total", _share(f"{p}_{s}")))
+    tracks = (("proc", "time_proc_max"), ("call", "time_sum"))
+    return _rounded([f"{e} AS {x.name}_{m}_time_{t}_frac_{n}" for x in AI.layers for m in x.derived for t, s in tracks for n, e in of(f"{x.name}_{m}", x.name, s)])
+
+
 def _overhead() -> str:
     cols = []
     for x in ("epoch", "data_loader", "reader"):
@@ -273,6 +279,7 @@ SQL = {
       posix_open_count, posix_close_count, posix_stat_count, posix_sync_time, round(posix_bw, 2) AS posix_bw, round(posix_ops, 4) AS posix_ops, round(posix_intensity, 9) AS posix_intensity FROM m""",
     "derived_metrics": f"WITH {traces()}, {hlm(['time_range'])}, {main(['time_range'], metrics(AI.only('data_loader', 'reader', 'posix')))} SELECT {', '.join(f'CAST(sum({x.col(b)}) AS BIGINT) AS {x.col(b)}' for x in metrics(AI.only('data_loader', 'reader', 'posix')) for b in ('count', 'time'))} FROM m",
     "view_time_range": f"{upto_view('time_range')} {_stats('time_range', _THREE)}",
+    "view_posix_prefixes": f"{upto_view('time_range')} {_rounded([f'{m.col(b)}_{x}' for m in metrics(POSIX) for b in ('time', 'count', *['size'] * m.sized) for x in ('sum', 'proc_min', 'proc_max', 'proc_mean', 'proc_std')])}",
     "view_proc_name": f"{upto_view('proc_name')} {_stats('proc_name', _THREE)}",
     "view_file_name": f"{upto_view('file_name')} {_stats('file_name', _THREE, ('time', 'count', 'size'))}",
     "view_ratios": f"{upto_view('time_range')} SELECT time_range, round(posix_read_bw_sum, 0) AS posix_read_bw_sum, round(posix_ops_sum, 2) AS posix_ops_sum, round(posix_ops_proc_max, 4) AS posix_ops_proc_max, round(posix_read_intensity_proc_mean, 9) AS posix_read_intensity_proc_mean FROM v",
@@ -300,6 +307,7 @@ SQL = {
       round(sqrt(greatest(CAST(q AS DOUBLE) / n - (s / n) * (s / n), 0)) / 1000000.0, 6) AS posix_time_call_std, round(round(z / n, 3), 6) AS posix_size_call_mean FROM x""",
     "frac_total": f"{_shares()} {_rounded([*[f'{p}_{x}' for p in _THREE for x in ('count_frac_total', 'time_proc_frac_total', 'time_call_frac_total')], 'posix_size_call_frac_total'], 9, source='w')}",
     "ops_slope_percentile": f"{_shares()} {_rounded(['posix_ops_slope', f'{_rank("posix_ops_slope")} AS posix_ops_percentile', 'posix_read_ops_slope', f'{_rank("posix_read_ops_slope")} AS posix_read_ops_percentile'], source='s')}",
+    "derived_frac": f"{upto_view('time_range', AI)} {_derived_frac()}",
     "boundary_parent_frac": f"{upto_view('time_range', CORE, False)} " + _rounded(
         [f"{x}_{s} / nullif(epoch_{s}, 0) AS {x}_time_{t}_frac_epoch" for x in ("compute", "reader", "posix") for t, s in (("proc", "time_proc_max"), ("call", "time_sum"))]
         + [f"CASE WHEN sum({CORE.layer(x).parent}_{s}) OVER () > 0 THEN {x}_{s} / nullif({CORE.layer(x).parent}_{s}, 0) END AS {x}_time_{t}_frac_parent" for x in ("compute", "checkpoint", "reader", "reader_posix") for t, s in (("proc", "time_proc_max"), ("call", "time_sum"))]

@@ -1,6 +1,7 @@
 import gzip
 import json
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,11 +13,13 @@ from iolens.operators import normalize as N
 from iolens.operators import profiles as P
 from iolens.operators import system as Y
 from iolens.operators import views as V
+from iolens.plans import engine_queries as Q
 from iolens.sources import trace as R
 
 from .conftest import rows
 
 SECOND = 1_000_000
+SMALL = "/root/testdata/sf0.001"
 
 
 def record(ph, name, cat, ts=0, dur=None, /, pid=1, tid=1, **args):
@@ -366,3 +369,13 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sum(seen) == 12
     s = stream.run_available(stream.sessions(stream.read_stream(spark, str(tmp_path / "in")), "3 seconds"), "sessions", str(tmp_path / "c4"), "complete")
     assert rows(s, "pid", "count") == [(0, 6), (1, 6)]
+
+
+@pytest.mark.skipif(not os.path.exists(SMALL), reason="no test data")
+def test_queries_hold_every_derived_metric_and_prefix(spark):
+    got = Q.derived_frac(spark, SMALL)
+    want = {f"{x.name}_{m}_time_{t}_frac_{of}" for x in presets.AI.layers for m in x.derived for t in ("proc", "call") for of in ("epoch", "parent", "total")}
+    assert set(got.columns) == want | {"time_range"}
+    assert got.agg(F.sum("posix_read_time_call_frac_total")).first()[0] == pytest.approx(1, abs=1e-4)
+    view = Q.view_posix_prefixes(spark, SMALL)
+    assert {f"{m.prefix}_time_sum" for m in V.metrics(presets.POSIX)} <= set(view.columns) and view.count() > 0
