@@ -400,13 +400,22 @@ def facts_summary(spark, d):
 # ---- presets and streams ----
 
 
-def auto_layers(spark, d):
+def _layer_counts(spark: SparkSession, d: str, root: bool) -> DataFrame:
     t = T.traces(spark, d, HOUR)
     forest = discovered(categories(t))
-    got = t.agg(*[F.count_if(F.expr(x.where)).alias(x.name) for x in forest.layers if x.where])
+    got = t.agg(*[F.count_if(F.expr(x.where or "true")).alias(x.name) for x in forest.layers if x.where or root])
     return got.select(F.explode(F.array(*[F.struct(F.lit(c).alias("layer"), F.col(c).alias("n")) for c in got.columns])).alias("p")).select("p.*")
 
 
+def auto_layers(spark, d):
+    return _layer_counts(spark, d, False)
+
+
+def auto_layers_root(spark, d):
+    """auto_layers and the root layer app, which also holds events without category."""
+    return _layer_counts(spark, d, True)
+
+
 def stream_tumbling(spark, d):
     """trace_events as a stream of files, tumbling hours per category."""
     source = table(spark, d, "trace_events")
@@ -422,6 +431,6 @@ _ALL = [
     view_proc_name, view_file_name, view_posix_prefixes, view_ratios, logical_file_dir, logical_file_pattern, logical_host, nunique, quantile_stats, interval_union, coalesce_profiles,
     expand_profiles_uniform, expand_profiles_weighted, system_metrics, slice_durations, raw_stats, layer_summary, call_stats, frac_total, ops_slope_percentile,
     boundary_parent_frac, derived_frac, overhead, unoverlapped, slope_severity, additional_metrics, topk_entities, rule_facts_detail, rule_facts_aggregate, metric_facts, fact_ids, facts_summary,
-    auto_layers, stream_tumbling,
+    auto_layers, auto_layers_root, stream_tumbling,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

@@ -329,6 +329,8 @@ SQL = {
     "fact_ids": f"{_facts('time_range')} SELECT DISTINCT {_fact_id(_T0, _T1, 'time_range')} AS fact_id FROM f",
     "facts_summary": f"{_facts('time_range')} SELECT fact_type, 'time_range' AS view_type, count(*) AS n, round(max(sev), 6) AS peak, {_LABEL.format('max(sev)')} AS label, min(tag) AS tags FROM f GROUP BY fact_type",
     "auto_layers": f"WITH {traces()} SELECT trim(regexp_replace(cat, '[^0-9a-z]+', '_', 'g'), '_') AS layer, count(*) AS n FROM t WHERE cat IS NOT NULL AND cat != '' GROUP BY ALL",
+    "auto_layers_root": f"""WITH {traces()} SELECT trim(regexp_replace(cat, '[^0-9a-z]+', '_', 'g'), '_') AS layer, count(*) AS n FROM t WHERE cat IS NOT NULL AND cat != '' GROUP BY ALL
+      UNION ALL SELECT 'app', count(*) FROM t""",
     "stream_tumbling": f"SELECT ts // {HOUR} * {HOUR} AS window_start, lower(trim(cat)) AS cat, count(*) AS count, CAST(sum(dur) AS BIGINT) AS time FROM trace_events WHERE ph = 'X' AND ts IS NOT NULL GROUP BY ALL",
 }
 SQL = {k: even(v) for k, v in SQL.items()}

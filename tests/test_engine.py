@@ -379,3 +379,10 @@ def test_queries_hold_every_derived_metric_and_prefix(spark):
     assert got.agg(F.sum("posix_read_time_call_frac_total")).first()[0] == pytest.approx(1, abs=1e-4)
     view = Q.view_posix_prefixes(spark, SMALL)
     assert {f"{m.prefix}_time_sum" for m in V.metrics(presets.POSIX)} <= set(view.columns) and view.count() > 0
+
+
+@pytest.mark.skipif(not os.path.exists(SMALL), reason="no test data")
+def test_root_layer_is_counted(spark):
+    n = dict(rows(Q.auto_layers_root(spark, SMALL)))
+    assert n.pop("app") == Q.scan_events(spark, SMALL).count()
+    assert n == dict(rows(Q.auto_layers(spark, SMALL)))
