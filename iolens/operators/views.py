@@ -183,3 +183,18 @@ def quantile_stats(df: DataFrame, by: str, value: str, low: int, high: int) -> D
     bounds = rows.groupBy(by).agg(F.percentile(value, F.array(F.lit(low / 100), F.lit(high / 100))).alias("_b"))
     kept = rows.join(bounds, by).where(F.col(value).between(F.col("_b")[0], F.col("_b")[1]))
     return kept.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(F.lit(1)).alias("n"))
+
+
+#: The percentile pairs of quantile statistics.
+QUANTILE_PAIRS = ((1, 99), (5, 95), (10, 90), (25, 75))
+
+
+def quantile_pairs(df: DataFrame, by: str, value: str) -> DataFrame:
+    """by, low, high, mean, std, n: quantile_stats of every pair, from one array of percentiles and one join."""
+    rows = df.where(F.col(value) != 0)
+    points = sorted({p for pair in QUANTILE_PAIRS for p in pair})
+    bounds = rows.groupBy(by).agg(F.percentile(value, F.array(*[F.lit(p / 100) for p in points])).alias("_b"))
+    pair = lambda lo, hi: F.struct(F.lit(lo).alias("low"), F.lit(hi).alias("high"), F.col("_b")[points.index(lo)].alias("lo"), F.col("_b")[points.index(hi)].alias("hi"))
+    bounds = bounds.select(by, F.array(*[pair(*p) for p in QUANTILE_PAIRS]).alias("_p"))
+    kept = rows.select(by, value).join(bounds, by).select(by, value, F.explode("_p").alias("_p")).where(F.col(value).between(F.col("_p.lo"), F.col("_p.hi")))
+    return kept.groupBy(by, F.col("_p.low").alias("low"), F.col("_p.high").alias("high")).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(F.lit(1)).alias("n"))

@@ -253,6 +253,11 @@ def quantile_stats(spark, d):
     return got.select("func_name", r("mean", 4).alias("mean"), r("std", 2).alias("std"), "n")
 
 
+def quantile_pairs(spark, d):
+    got = V.quantile_pairs(T.traces(spark, d, HOUR), "func_name", "time")
+    return got.select("func_name", "low", "high", r("mean", 4).alias("mean"), r("std", 2).alias("std"), "n")
+
+
 def interval_union(spark, d):
     return metrics.busy_time(T.traces(spark, d, HOUR).where("time > 0"), ["cat"])
 
@@ -428,7 +433,7 @@ def stream_tumbling(spark, d):
 _ALL = [
     scan_events, scan_payloads, raw_page, io_category, proc_names, posix_category, size_bins, time_buckets, ignore_filter, layer_filter, logical_keys, hash_lookup_join,
     semi_drilldown, epoch_interval_join, asof_steps, reconcile_anti_join, union_distinct_keys, flat_outer_join, system_left_join, hlm, main_view, derived_metrics, view_time_range,
-    view_proc_name, view_file_name, view_posix_prefixes, view_ratios, logical_file_dir, logical_file_pattern, logical_host, nunique, quantile_stats, interval_union, coalesce_profiles,
+    view_proc_name, view_file_name, view_posix_prefixes, view_ratios, logical_file_dir, logical_file_pattern, logical_host, nunique, quantile_stats, quantile_pairs, interval_union, coalesce_profiles,
     expand_profiles_uniform, expand_profiles_weighted, system_metrics, slice_durations, raw_stats, layer_summary, call_stats, frac_total, ops_slope_percentile,
     boundary_parent_frac, derived_frac, overhead, unoverlapped, slope_severity, additional_metrics, topk_entities, rule_facts_detail, rule_facts_aggregate, metric_facts, fact_ids, facts_summary,
     auto_layers, auto_layers_root, stream_tumbling,

@@ -289,6 +289,9 @@ SQL = {
     "nunique": f"WITH {traces()} SELECT time_range, " + ", ".join(f"count(DISTINCT CASE WHEN {duck(AI.layer(x).where)} THEN {w} END) AS {x}_{w}_nunique" for w in ("file_name", "proc_name") for x in ("posix", "reader_posix", "compute")) + " FROM t GROUP BY 1",
     "quantile_stats": f"""WITH {traces()}, x AS (SELECT func_name, CAST(time AS DOUBLE) AS time FROM t WHERE time != 0), b AS (SELECT func_name, quantile_cont(time, 0.05) AS lo, quantile_cont(time, 0.95) AS hi FROM x GROUP BY 1)
       SELECT func_name, round(avg(time), 4) AS mean, round(stddev_pop(time), 2) AS std, count(*) AS n FROM x JOIN b USING (func_name) WHERE time BETWEEN lo AND hi GROUP BY 1""",
+    "quantile_pairs": f"""WITH {traces()}, x AS (SELECT func_name, CAST(time AS DOUBLE) AS time FROM t WHERE time != 0), q AS (SELECT unnest([1, 5, 10, 25]) AS low, unnest([99, 95, 90, 75]) AS high),
+      b AS (SELECT func_name, unnest([1, 5, 10, 25]) AS low, unnest(quantile_cont(time, [0.01, 0.05, 0.1, 0.25])) AS lo, unnest(quantile_cont(time, [0.99, 0.95, 0.9, 0.75])) AS hi FROM x GROUP BY func_name)
+      SELECT func_name, low, high, round(avg(time), 4) AS mean, round(stddev_pop(time), 2) AS std, count(*) AS n FROM x JOIN b USING (func_name) JOIN q USING (low) WHERE time BETWEEN lo AND hi GROUP BY 1, 2, 3""",
     "interval_union": f"""WITH {traces()}, x AS (SELECT cat, time_start AS a, time_end AS b, max(time_end) OVER (PARTITION BY cat ORDER BY time_start, time_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM t WHERE time > 0)
       SELECT cat, CAST(sum(greatest(b - greatest(a, coalesce(reach, a)), 0)) AS BIGINT) AS busy FROM x GROUP BY 1""",
     "coalesce_profiles": f"WITH {PROFILES} SELECT cat, func_name, pid, tid, time_start, host_hash, count, time, size, time_min, time_max, size_min, size_max FROM p",

@@ -208,6 +208,14 @@ def test_quantile_stats(spark):
     assert rows(V.quantile_stats(df, "g", "v", 10, 90)) == [("g", 3.0, pytest.approx(math.sqrt(2 / 3)), 3)]
 
 
+def test_every_quantile_pair(spark):
+    df = spark.createDataFrame([(g, float(v * v % 97)) for g in "gh" for v in range(60 if g == "g" else 5)] + [("g", None), ("i", 0.0)], "g string, v double")
+    got = rows(V.quantile_pairs(df, "g", "v"))
+    want = [(g, lo, hi, *x) for lo, hi in ((1, 99), (5, 95), (10, 90), (25, 75)) for g, *x in rows(V.quantile_stats(df, "g", "v", lo, hi))]
+    assert len(got) == 8 and [(*a[:3], a[5]) for a in got] == sorted((*a[:3], a[5]) for a in want)
+    assert [x for a in got for x in a[3:5]] == pytest.approx([x for a in sorted(want) for x in a[3:5]])
+
+
 def test_shares_slopes_and_ranks(spark):
     kinds = "time_range bigint, a_count_sum bigint, a_time_sum double, a_time_proc_max double"
     view = spark.createDataFrame([(0, 1, 3.0, 3.0), (1, 3, 1.0, 1.0), (2, 1, 3.0, 3.0), (3, None, None, None)], kinds)
