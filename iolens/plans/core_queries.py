@@ -11,17 +11,21 @@ from iolens.runtime import normal_form, records, table, written
 FIVE_SECONDS = 5_000_000
 
 
-def _key_stats(spark: SparkSession, d: str) -> DataFrame:
-    events = records(table(spark, d, "trace_events"), "event_id", {"cat": normal_form(F.col("cat")), "name": normal_form(F.col("name")), "file_name": F.col("file_name"), "dur": F.col("dur")})
-    return skew.keyed_stats(written(events, "events"), {c: F.col(c) for c in ("cat", "name", "file_name")}, "dur")
+FIELDS = ("cat", "name", "file_name")
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return records(table(spark, d, "trace_events"), "event_id", {"cat": normal_form(F.col("cat")), "name": normal_form(F.col("name")), "file_name": F.col("file_name"), "dur": F.col("dur")})
 
 
 def p1_key_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _key_stats(spark, d).withColumn("total", F.expr("try_cast(total as bigint)"))
+    return skew.keyed_stats(written(_events(spark, d), "events"), {c: F.col(c) for c in FIELDS}, "dur").withColumn("total", F.expr("try_cast(total as bigint)"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return skew.heavy_keys(_key_stats(spark, d), 0.05).select("field_name", "key_value")
+    """From the merged histograms alone: counts need no refinement."""
+    totals = skew.key_totals(skew.histograms(_events(spark, d), {c: F.col(c) for c in FIELDS}, "dur"))
+    return skew.heavy_keys(totals, 0.05).select("field_name", "key_value")
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:

@@ -62,3 +62,26 @@ def test_records_count_copies_once_and_rows_without_id_each(spark):
 def test_refinement_ends_on_one_value(spark, values):
     got = stats(spark, [("k", "n", v, 0, 0, "") for v in values], percents=(50,))
     assert got["cat", "k"]["p50"] == brute(values, 50)
+
+
+@pytest.mark.parametrize("limit", [1, 3, 10**6])
+def test_any_number_of_keys_may_be_sent_to_the_rows(spark, monkeypatch, limit):
+    monkeypatch.setattr(skew.runtime, "BROADCAST_ROWS", limit)
+    rng = random.Random(3)
+    hot = [("hot", "n", 2**40 + rng.randrange(2**35), 0, 0, "") for _ in range(600)]  # one code
+    data = hot + [(rng.choice("abc"), "n", rng.randrange(10**6), 0, 0, "") for _ in range(300)]
+    got = stats(spark, data, percents=(5, 50))
+    for k in ("hot", "a", "b", "c"):
+        own = [d[2] for d in data if d[0] == k]
+        assert (got["cat", k]["p5"], got["cat", k]["p50"]) == (brute(own, 5), brute(own, 50))
+
+
+def test_values_of_a_hot_key_are_not_shuffled(spark, monkeypatch):
+    """Ten keys may be sent: the hot key's ranks come from counts, at most SPLITS rows a range and task."""
+    monkeypatch.setattr(skew.runtime, "BROADCAST_ROWS", 10)
+    sizes = []
+    plain = skew._narrowed
+    monkeypatch.setattr(skew, "_narrowed", lambda parts, *a: (sizes.append(parts.where("key_value = 'hot'").groupBy("code").count().agg(F.max("count")).first()[0] or 0), plain(parts, *a))[1])
+    data = [("hot", "n", 2**40 + i * 7, 0, 0, "") for i in range(5000)]
+    got = stats(spark, data, percents=(50,))
+    assert got["cat", "hot"]["p50"] == brute([d[2] for d in data], 50) and max(sizes) <= skew.SPLITS
