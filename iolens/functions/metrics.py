@@ -150,5 +150,5 @@ def busy_time(spans: DataFrame, by: list[str]) -> DataFrame:
     from iolens.operators import intervals
 
     rows = spans.where("time_start is not null and time_end >= time_start").select(*by, F.col("time_start").alias("start"), F.col("time_end").alias("stop"))
-    found = intervals.chunk_periods(rows, by)
+    found = intervals.periods(intervals.chunk_periods(rows, by), by)
     return found.groupBy(*by).agg(F.sum(F.col("stop") - F.col("start")).cast("bigint").alias("busy"))
