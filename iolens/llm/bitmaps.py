@@ -2,12 +2,13 @@
 
 Method: identifiers are dictionary-encoded to dense integers, bitmaps are built
 per group and bucket of 2**16 integers, and bits are counted; the error is
-zero. The dictionary is range-partitioned: each shard numbers its own
-identifiers from 0, so no step needs one task, and a bucket is (shard, high
+zero. The dictionary is made of the distinct identifiers; each of its shards
+numbers its own from 0, so no step needs one task, and a bucket is (shard, high
 bits). A bucket with at most 4096 identifiers is stored as a sorted list of
 their low 16 bits, a fuller one as 8 KB of bits. Rows are reduced to distinct
-(group, identifier) pairs before identifiers meet, so a hot identifier is at
-most one row per group.
+(group, identifier) pairs first. Identifiers with the most pairs are looked up
+where the pairs lie, the others meet their pairs by a shuffle in which none has
+more than a bounded number of them.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from iolens.functions.arrow import changes
+from iolens import runtime
+from iolens.functions.arrow import starts
 from iolens.runtime import written
 
 #: A list of two bytes each up to here, bits beyond: both take 8 KB at most.
 LISTED = 4096
+#: Pairs an identifier may have in one task of the shuffle, at least.
+LEAST_HOT = 1000
 
 
 def pack(low: np.ndarray) -> bytes:
@@ -60,75 +63,83 @@ def _arrow(kind: str) -> pa.DataType:
 
 
 def encoded(pairs: DataFrame, value: str) -> DataFrame:
-    """pairs with shard and id of the identifier: the dictionary and its use in one written table.
+    """pairs with shard and id of the identifier.
 
-    pairs: rows with an identifier that isn't null. Each shard holds a range of
-    identifiers and numbers them densely in their order.
+    pairs: rows with an identifier; null ones are left out. The limit above
+    which identifiers are sent to the pairs grows with the data, so that at
+    most BROADCAST_ROWS lie above it.
     """
+    pairs = written(pairs.where(F.col(value).isNotNull()), "pairs")
+    each = pairs.groupBy(value).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.monotonically_increasing_id())
+    # written, so that every use sees the same numbers; a partition counts its rows from 0 in the low 33 bits
+    known = written(each.select(value, "_n", F.shiftright("_k", 33).cast("int").alias("shard"), F.expr("_k & 8589934591L").alias("id")), "dictionary")
+    n = known.agg(F.sum("_n")).first()[0] or 0
+    hot = F.col("_n") > max(LEAST_HOT, -(-n // max(1, runtime.BROADCAST_ROWS)))
+    first = F.broadcast(known.where(hot).drop("_n"))
+    rest = pairs.join(first.select(value), value, "left_anti").join(known.where(~hot).drop("_n"), value)
+    return pairs.join(first, value).unionByName(rest).select(*pairs.columns, "shard", "id")
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, top = TaskContext.get().partitionId(), None, -1
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            col = batch.column(value)
-            new = np.r_[last is None or col[0].as_py() != last, changes(col)]
-            ids = top + np.cumsum(new)
-            top, last = int(ids[-1]), col[len(col) - 1].as_py()
-            arrays = [*batch.columns, pa.array(np.full(len(col), part), pa.int32()), pa.array(ids, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "shard", "id"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
-    return written(pairs.repartitionByRange(value).sortWithinPartitions(value).mapInArrow(number, f"{kinds}, shard int, id bigint"), "encoded")
+def _folded(df: DataFrame, keys: list[str], data: str, how: str, local: bool = False) -> DataFrame:
+    """One packed bucket per distinct keys, from integers (data: low) or packed buckets (bits); local: per partition only.
 
-
-def _folded(df: DataFrame, keys: list[str], data: str, make) -> DataFrame:
-    """One packed bucket per distinct keys; make: from the values of `data` of one bucket to its integers."""
+    Of the bucket that goes on in the next batch only the set so far is held.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema if f.name in keys}
     out = pa.schema([(k, _arrow(kinds[k])) for k in keys] + [("bits", pa.binary()), ("n", pa.int64())])
+    make = (lambda col: np.unique(np.asarray(col))) if data == "low" else (lambda col: combine(col.to_pylist(), how))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(tab: pa.Table, starts: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-            col = tab[data].combine_chunks()
-            sets = [make(col.slice(a, b - a)) for a, b in zip(starts, ends, strict=True)]
-            done = tab.select(keys).take(pa.array(starts))
-            done = done.append_column("bits", pa.array([pack(s) for s in sets], pa.binary())).append_column("n", pa.array([len(s) for s in sets], pa.int64()))
-            yield from done.cast(out).combine_chunks().to_batches()
-
-        rest: pa.Table | None = None  # rows of the bucket not yet whole
+        def done(heads: pa.Table, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            full = heads.append_column("bits", pa.array([pack(s) for s in sets], pa.binary())).append_column("n", pa.array([len(s) for s in sets], pa.int64()))
+            yield from full.cast(out).combine_chunks().to_batches()
+
+        open_key: pa.Table | None = None
+        so_far = np.empty(0, np.int64)
         for batch in batches:
-            tab = pa.Table.from_batches([batch])
-            tab = tab if rest is None else pa.concat_tables([rest, tab]).combine_chunks()
-            if tab.num_rows < 2:
-                rest = tab
+            if not batch.num_rows:
                 continue
-            new = np.zeros(tab.num_rows - 1, bool)
-            for k in keys:
-                new |= changes(tab[k])
-            cuts = np.r_[0, np.flatnonzero(new) + 1]
-            if len(cuts) > 1:
-                yield from emit(tab, cuts[:-1], cuts[1:])
-            rest = tab.slice(int(cuts[-1]))
-        if rest is not None and rest.num_rows:
-            yield from emit(rest, np.array([0]), np.array([rest.num_rows]))
-
-    ready = df.select(*keys, data).repartition(*keys).sortWithinPartitions(*keys, *[data] * (data == "low"))
+            tab = pa.Table.from_batches([batch])
+            col, head = tab[data].combine_chunks(), tab.select(keys)
+            first = starts(tab, keys)
+            ends = np.r_[first[1:], tab.num_rows]
+            if open_key is not None:
+                if len(starts(pa.concat_tables([open_key, head.slice(0, 1)]), keys)) == 1:
+                    more = make(col.slice(0, ends[0]))
+                    so_far = np.intersect1d(so_far, more) if how == "and" else np.union1d(so_far, more)
+                    first, ends = first[1:], ends[1:]
+                    if not len(first):
+                        continue
+                yield from done(open_key, [so_far])
+            if len(first) > 1:
+                yield from done(head.take(pa.array(first[:-1])), [make(col.slice(a, b - a)) for a, b in zip(first[:-1], ends[:-1], strict=True)])
+            open_key, so_far = head.slice(int(first[-1]), 1), make(col.slice(first[-1], ends[-1] - first[-1]))
+        if open_key is not None:
+            yield from done(open_key, [so_far])
+
+    ready = df.select(*keys, data)
+    ready = (ready if local else ready.repartition(*keys)).sortWithinPartitions(*keys)
     return ready.mapInArrow(fold, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", bits binary, n bigint")
 
 
 def bitmaps(coded: DataFrame, dims: list[str]) -> DataFrame:
     """dims, shard, hi, bits, n: the mergeable partial result, from `encoded` pairs distinct in dims and identifier."""
     low = coded.select(*dims, "shard", F.shiftright("id", 16).cast("int").alias("hi"), F.expr("cast(id & 65535 as int)").alias("low"))
-    return _folded(low, [*dims, "shard", "hi"], "low", lambda col: np.asarray(col))
+    return _folded(low, [*dims, "shard", "hi"], "low", "or")
 
 
 def merge(maps: DataFrame, dims: list[str], how: str = "or") -> DataFrame:
     """Bitmaps of finer groups, days or partitions as those of `dims`: united (or) or intersected (and).
 
     For `and`, every operand must have the bucket; buckets an operand lacks
-    must have been dropped by the caller (see both).
+    must have been dropped by the caller (see both). Unions are made within
+    partitions before the shuffle, so a coarse group has a row per bucket and
+    partition at most.
     """
-    return _folded(maps, [*dims, "shard", "hi"], "bits", lambda col: combine(col.to_pylist(), how))
+    keys = [*dims, "shard", "hi"]
+    if how == "or":
+        maps = _folded(maps, keys, "bits", how, local=True)
+    return _folded(maps, keys, "bits", how)
 
 
 def both(a: DataFrame, b: DataFrame, dims: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iolens.llm import bitmaps, percentiles, runs
-from iolens.runtime import event_day, normal_form, records, table
+from iolens.runtime import event_day, normal_form, records, table, written
 
 GROUP = ["measure", "event_day", "name"]
 
@@ -56,7 +56,7 @@ def _pairs(spark: SparkSession, d: str, value: str, dims: dict) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     dims = {"event_day": event_day(F.col("ts")), "cat": normal_form(F.col("cat"))}
-    coded = bitmaps.encoded(_pairs(spark, d, "file_name", dims), "value")
+    coded = written(bitmaps.encoded(_pairs(spark, d, "file_name", dims), "value"), "coded")  # read twice
     distinct = bitmaps.counted(bitmaps.bitmaps(coded, list(dims)), list(dims))
     size = coded.groupBy(*dims).agg(F.sum("n_records").alias("n_records")).where("n_records >= 50")
     both = distinct.alias("a").join(size.alias("b"), F.expr("a.event_day = b.event_day and a.cat <=> b.cat"))

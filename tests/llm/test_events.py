@@ -103,3 +103,23 @@ def test_distinct_counts_merge_over_days_and_groups(spark):
     both = B.counted(B.both(one.where("day = 'd1'"), two.where("day = 'd1'"), ["day"]), ["day"])
     assert rows(both) == [("d1", len({v for d, c, v in data if (d, c) == ("d1", "x")} & {v for d, c, v in data if (d, c) == ("d1", "y")}))]
     assert B.counted(B.bitmaps(B.encoded(pairs.where("false"), "value"), ["day"]), ["day"]).count() == 0
+
+
+@pytest.mark.parametrize(("hot", "sent"), [(0, 10**6), (0, 2), (10**6, 1)])
+def test_a_hot_identifier_is_counted_once_a_group(spark, monkeypatch, hot, sent):
+    monkeypatch.setattr(B, "LEAST_HOT", hot)
+    monkeypatch.setattr(B.runtime, "BROADCAST_ROWS", sent)
+    pairs = spark.createDataFrame([(f"g{i}", "hot") for i in range(400)] + [(f"g{i % 3}", f"v{i}") for i in range(50)] + [("g0", None)], "g string, value string")
+    coded = B.encoded(pairs.distinct(), "value")
+    assert coded.count() == 450 and coded.select("shard", "id").distinct().count() == 51
+    fine = B.bitmaps(coded, ["g"])
+    got = {r["g"]: r["n_distinct"] for r in B.counted(fine, ["g"]).collect()}
+    assert got == {f"g{i}": 1 + (len(range(i, 50, 3)) if i < 3 else 0) for i in range(400)}
+    whole = B.counted(B.merge(fine.withColumn("all", F.lit("x")), ["all"]), ["all"])
+    assert rows(whole) == [("x", 51)]
+
+
+def test_a_full_bucket_over_many_batches(spark):
+    coded = spark.range(70_000).selectExpr("'g' as g", "0 as shard", "id", "id % 5 as part")
+    maps = B.bitmaps(coded, ["g", "part"])
+    assert rows(B.counted(B.merge(maps, ["g"]), ["g"])) == [("g", 70_000)]
