@@ -74,6 +74,19 @@ _SPANS = """s AS (SELECT DISTINCT span_id, pid, lower(trim(cat)) AS cat, ts, coa
   o AS (SELECT pid, cat, ts, te, max(te) OVER (PARTITION BY pid, cat ORDER BY ts, te DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM u)"""
 _READ = f"""r AS (SELECT DISTINCT reading_id, pid, ts FROM counter_samples WHERE ts IS NOT NULL AND (dur >= 0 OR size >= 0)),
   c AS (SELECT DISTINCT pid, CAST(floor(ts / {FIVE_SECONDS}) AS BIGINT) AS p FROM r)"""
+_USABLE = """r AS (SELECT DISTINCT reading_id, pid, ts, CASE WHEN dur >= 0 THEN dur END AS dur, CASE WHEN size >= 0 THEN size END AS size
+    FROM counter_samples WHERE ts IS NOT NULL AND (dur >= 0 OR size >= 0))"""
+
+
+def _increments(m: str) -> str:
+    """Per pid and cell the share of each increment of a counter, in whole numbers."""
+    cell = lambda t: f"CAST(floor({t} / {FIVE_SECONDS}) AS BIGINT)"
+    upto = lambda c: f"(CAST(inc AS HUGEINT) * greatest(0, least(ts, {c} * {FIVE_SECONDS}) - t0)) // (ts - t0)"
+    return f"""l_{m} AS (SELECT pid, ts, {m} AS v, lag(ts) OVER w AS t0, lag({m}) OVER w AS v0 FROM r WHERE {m} IS NOT NULL WINDOW w AS (PARTITION BY pid ORDER BY ts, reading_id)),
+  c_{m} AS (SELECT pid, ts, t0, CASE WHEN v < v0 THEN v ELSE v - v0 END AS inc, unnest(range(CASE WHEN ts = t0 THEN {cell('ts')} ELSE {cell('t0')} END, {cell('ts')} + 1)) AS c FROM l_{m} WHERE t0 IS NOT NULL),
+  s_{m} AS (SELECT pid, c, CAST(sum(CASE WHEN ts = t0 THEN inc ELSE {upto('(c + 1)')} - {upto('c')} END) AS BIGINT) AS inc FROM c_{m} GROUP BY ALL)"""
+
+
 _LINES = """l AS (SELECT unnest(string_split(payload, chr(10))) AS line FROM trace_files),
   t AS (SELECT rtrim(trim(line, chr(13) || chr(9) || ' '), ', ') AS t FROM l),
   j AS (SELECT CASE WHEN t LIKE '{%' AND json_valid(t) THEN t END AS j FROM t)"""
@@ -94,6 +107,12 @@ SQL = {
     "p2_found": f"WITH {_SPANS} SELECT pid, cat, reach AS gap_ts, ts AS gap_te FROM o WHERE reach < ts",
     "p3_found": f"""WITH {_LINES} SELECT DISTINCT j->'args'->>'hhash' AS host_hash, CAST(j->>'pid' AS BIGINT) AS pid, CAST(j->>'id' AS BIGINT) AS record_id
       FROM j WHERE j IS NOT NULL""",
+    "p4_series": f"""WITH {_USABLE}, {_increments('dur')}, {_increments('size')},
+      p AS (SELECT pid, CAST(floor(ts / {FIVE_SECONDS}) AS BIGINT) AS p FROM r), n AS (SELECT pid, p, count(*) AS n FROM p GROUP BY ALL),
+      g AS (SELECT pid, unnest(range(min(p), max(p) + 1)) AS period_no FROM p GROUP BY pid)
+    SELECT g.pid, g.period_no, coalesce(n.n, 0) AS n_readings, a.inc AS dur_inc, b.inc AS size_inc, n.n IS NULL AS missing FROM g
+      LEFT JOIN n ON n.pid IS NOT DISTINCT FROM g.pid AND n.p = g.period_no LEFT JOIN s_dur a ON a.pid IS NOT DISTINCT FROM g.pid AND a.c = g.period_no
+      LEFT JOIN s_size b ON b.pid IS NOT DISTINCT FROM g.pid AND b.c = g.period_no""",
     "p4_found": f"""WITH {_READ}, n AS (SELECT pid, p, lead(p) OVER (PARTITION BY pid ORDER BY p) AS q FROM c)
       SELECT pid, unnest(range(p + 1, q)) AS period_no FROM n WHERE q > p + 1""",
 }

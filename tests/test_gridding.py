@@ -60,3 +60,15 @@ def test_null_source_ties_and_empty(spark):
     got = grid(spark, [(None, 2, 7, 9, 0), (None, 1, 7, 4, 0)])
     assert [(r["n_readings"], r["dur_inc"]) for r in got.values()] == [(2, 5)]
     assert grid(spark, []) == {} == grid(spark, [(1, 1, None, 5, 5), (1, 2, 4, None, -2)])
+
+
+def test_shares_are_exact_over_long_spans(spark):
+    data = [(1, 1, 3, 0, None), (1, 2, 7_000_001, 999_999_937, None), (1, 3, 7_000_100, 999_999_999, 5)]
+    got = grid(spark, data, 700)
+    assert {k: (r["n_readings"], r["dur_inc"], r["size_inc"]) for k, r in got.items()} == brute(data, 700)
+
+
+def test_one_wrong_time_gives_its_cells_from_many_rows(spark):
+    df = spark.createDataFrame([(1, 1, 0, 5, None), (1, 2, 3_000_000_000, 9, None), (1, 3, 3_000_000_010, 9, None)], "pid bigint, reading_id bigint, ts bigint, dur bigint, size bigint")
+    got = to_grid(df, "pid", 1000, ["dur", "size"], "reading_id")
+    assert got.count() == 3_000_001 and got.where("missing").count() == 2_999_999 and got.selectExpr("sum(dur_inc)").first()[0] == 4
