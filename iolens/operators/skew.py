@@ -121,6 +121,6 @@ def keyed_stats(df: DataFrame, fields: dict[str, Column], value: str, percents:
 
 def heavy_keys(totals: DataFrame, share: float = 0.05) -> DataFrame:
     """Keys (not null) of key_totals or keyed_stats holding at least `share` of all records of their field."""
-    counts = totals.select(*KEY, "n")
+    counts = written(totals.select(*KEY, "n"), "counts")  # read twice
     whole = counts.groupBy("field_name").agg(F.sum("n").alias("_all"))  # one row per field
     return counts.join(F.broadcast(whole), "field_name").where(F.col("key_value").isNotNull() & (F.col("n") >= F.col("_all") * share)).drop("_all")
