@@ -2,10 +2,11 @@
 
 Method: balanced longest-first scheduling. Every surviving file is assigned to
 one of a fixed number of output groups with a least-loaded heap, longest first;
-each group is streamed through pyarrow into one Parquet file, and a manifest,
-verified against the counts of the input, is published with one rename.
-Records delivered more than once, within or across files, are kept in the file
-of the lowest id only, before sizes are taken.
+each group is a task of its own, streamed through pyarrow into one Parquet file,
+and a manifest, verified against the counts of the input, is published in one
+step. Records delivered more than once, within or across files, are kept in the
+file of the lowest id only, before sizes are taken. A file beyond the target
+size is scheduled in several pieces.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iolens.runtime import fresh_dir, written
+from iolens.runtime import broadcast_if_small, fresh_dir, written
 
 #: Bytes of record text an output file should hold.
 TARGET = 32 << 20
+#: Output files at least, so that readers can work side by side.
+LEAST_GROUPS = 4
 #: Files one scheduling task takes; more files are scheduled in several shards, each with groups of its own.
 SHARD_FILES = 500_000
 
@@ -43,7 +46,7 @@ def parse_lines(payloads: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if not text.startswith("{"):
                     continue
                 try:
-                    o = json.loads(text)
+                    o = json.loads(text, parse_constant=_refused)
                 except (ValueError, RecursionError):
                     continue
                 args = o.get("args")
@@ -54,6 +57,10 @@ def parse_lines(payloads: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.astype({"file_id": "Int64", "line_no": "Int64", "pid": "Int64", "record_id": "Int64"})
 
 
+def _refused(name: str) -> None:
+    raise ValueError(f"{name} is not JSON")
+
+
 def _whole(x: object) -> int | None:
     return x if isinstance(x, int) and not isinstance(x, bool) and -(2**63) <= x < 2**63 else None
 
@@ -74,11 +81,13 @@ def distinct_records(files: DataFrame) -> DataFrame:
     return kept.select("r.file_id", "host_hash", "pid", "record_id", "r.line")
 
 
-def plan_groups(sizes: DataFrame, n_files: int, n_groups: int) -> DataFrame:
-    """file_id, group_no: longest first, always to the least loaded group.
+def plan_groups(sizes: DataFrame, n_files: int, n_groups: int, target: int = TARGET) -> DataFrame:
+    """file_id, groups: longest first, always to the least loaded group (the lowest of several).
 
-    sizes: file_id, n_bytes. A task streams a shard of the files, longest
-    first, through a heap of its own groups; memory holds the heap alone.
+    sizes: file_id, n_bytes. A file of more than `target` bytes is scheduled as
+    so many equal pieces; `groups` has the group of each. A task streams a
+    shard of the files, longest first, through a heap of its own groups; memory
+    holds the heap alone.
     """
     shards = max(1, min(n_groups, -(-n_files // SHARD_FILES)))
     per = -(-n_groups // shards)
@@ -92,11 +101,15 @@ def plan_groups(sizes: DataFrame, n_files: int, n_groups: int) -> DataFrame:
                 load, group = heap[0]
                 heapq.heapreplace(heap, (load + int(n), group))
                 out.append(group)
-            yield pd.DataFrame({"file_id": pdf["file_id"], "group_no": out})
+            yield pd.DataFrame({"file_id": pdf["file_id"], "piece": pdf["piece"], "group_no": out})
 
-    spread = sizes.withColumn("shard", F.expr(f"cast(pmod(xxhash64(file_id), {shards}) as int)"))
-    spread = spread.repartition(shards, "shard").sortWithinPartitions("shard", F.desc("n_bytes"), "file_id")
-    return spread.mapInPandas(assign, "file_id bigint, group_no bigint")
+    pieces = f"greatest(1, ceil(n_bytes / {target}))"
+    spread = sizes.select("file_id", F.expr(f"ceil(n_bytes / {pieces})").alias("n_bytes"), F.explode(F.expr(f"sequence(1, {pieces})")).alias("piece"))
+    spread = spread.withColumn("shard", F.expr(f"cast(pmod(xxhash64(file_id, piece), {shards}) as int)"))
+    spread = spread.repartition(shards, "shard").sortWithinPartitions("shard", F.desc("n_bytes"), "file_id", "piece")
+    plan = spread.mapInPandas(assign, "file_id bigint, piece bigint, group_no bigint")
+    each = plan.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("piece", "group_no"))).alias("p"))
+    return each.select("file_id", F.col("p.group_no").alias("groups"))
 
 
 def _write_groups(folder: str):
@@ -141,7 +154,7 @@ def compact(files: DataFrame, target: int = TARGET, folder: str | None = None) -
     """Writes the distinct records of `files` (file_id, payload) as few files; returns the published folder.
 
     The folder holds group files and manifest.json, which names the valid ones;
-    it appears in one rename, after the records written have been counted
+    it appears in one step, after the records written have been counted
     against the records read. No records give a manifest without files.
     """
     spark = files.sparkSession
@@ -149,11 +162,12 @@ def compact(files: DataFrame, target: int = TARGET, folder: str | None = None) -
     sizes = records.groupBy("file_id").agg(F.sum(F.octet_length("line")).alias("n_bytes"), F.count(F.lit(1)).alias("n"))
     row = sizes.agg(F.count(F.lit(1)).alias("files"), F.sum("n_bytes").alias("bytes"), F.sum("n").alias("n")).first()
     n_files, n_bytes, n_records = row["files"], row["bytes"] or 0, row["n"] or 0
-    n_groups = max(1, -(-n_bytes // target))
-    plan = plan_groups(sizes.select("file_id", "n_bytes"), n_files, n_groups)
-    grouped = records.alias("r").join(plan.alias("p"), F.expr("r.file_id <=> p.file_id")).select("p.group_no", "r.*")
+    n_groups = max(1, min(n_files, LEAST_GROUPS), -(-n_bytes // target))
+    plan = broadcast_if_small(plan_groups(sizes.select("file_id", "n_bytes"), n_files, n_groups, target), n_files)
+    own = F.expr("p.groups[cast(pmod(xxhash64(r.line), size(p.groups)) as int)]")
+    grouped = records.alias("r").join(plan.alias("p"), F.expr("r.file_id <=> p.file_id")).select(own.alias("group_no"), "r.*")
     folder = folder or fresh_dir(spark, "compacted")
-    grouped = grouped.repartition(n_groups, "group_no").sortWithinPartitions("group_no", "file_id")
+    grouped = grouped.repartitionById(n_groups, F.col("group_no").cast("int")).sortWithinPartitions("group_no", "file_id")
     written_groups = grouped.mapInArrow(_write_groups(folder), "group_no bigint, file string, n_records bigint, n_bytes bigint").collect()  # a row per output file
     manifest = [r.asDict() for r in sorted(written_groups, key=lambda r: r["group_no"])]
     if (sum(m["n_records"] for m in manifest), sum(m["n_bytes"] for m in manifest)) != (n_records, n_bytes):
@@ -163,11 +177,14 @@ def compact(files: DataFrame, target: int = TARGET, folder: str | None = None) -
 
 
 def _publish(folder: str, manifest: list[dict]) -> None:
+    """One rename; on object stores, whose rename is a copy but whose files appear whole when closed, one write."""
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root)
-    with fs.open_output_stream(f"{root}/.manifest.tmp") as out:
+    renames = isinstance(fs, pafs.LocalFileSystem | pafs.HadoopFileSystem)
+    with fs.open_output_stream(f"{root}/{'.manifest.tmp' if renames else 'manifest.json'}") as out:
         out.write(json.dumps({"version": 1, "groups": manifest}).encode())
-    fs.move(f"{root}/.manifest.tmp", f"{root}/manifest.json")
+    if renames:
+        fs.move(f"{root}/.manifest.tmp", f"{root}/manifest.json")
 
 
 def read_manifest(folder: str) -> list[dict]:

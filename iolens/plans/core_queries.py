@@ -91,6 +91,18 @@ _LINES = """l AS (SELECT unnest(string_split(payload, chr(10))) AS line FROM tra
   t AS (SELECT rtrim(trim(line, chr(13) || chr(9) || ' '), ', ') AS t FROM l),
   j AS (SELECT CASE WHEN t LIKE '{%' AND json_valid(t) THEN t END AS j FROM t)"""
 
+_TARGET, _LEAST = compaction.TARGET, compaction.LEAST_GROUPS
+# the lines as the operator cleans them, one of each record, sizes by file, and the files one after another to the least loaded group
+_MANIFEST = f"""WITH RECURSIVE l AS (SELECT file_id, unnest(string_split(payload, chr(10))) AS line, generate_subscripts(string_split(payload, chr(10)), 1) AS line_no FROM trace_files),
+  t AS (SELECT file_id, line_no, regexp_replace(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '\\s*,$', '') AS t FROM l),
+  j AS (SELECT *, CAST(t->'args'->>'hhash' AS VARCHAR) AS h, CAST(t->>'pid' AS BIGINT) AS pid, CAST(t->>'id' AS BIGINT) AS id FROM t WHERE t LIKE '{{%' AND json_valid(t)),
+  k AS (SELECT arg_min({{'f': file_id, 't': t}}, (file_id, line_no)) AS r FROM j GROUP BY h, pid, id, CASE WHEN h IS NULL OR pid IS NULL OR id IS NULL THEN t END),
+  s AS (SELECT r.f AS f, sum(strlen(r.t)) AS b, count(*) AS n, row_number() OVER (ORDER BY sum(strlen(r.t)) DESC, r.f) AS i FROM k GROUP BY r.f),
+  g AS (SELECT greatest(1, least(count(*), {_LEAST}), (sum(b) + {_TARGET} - 1) // {_TARGET})::INT AS g FROM s),
+  w AS (SELECT 0::BIGINT AS i, list_transform(range(g), lambda x: 0::BIGINT) AS load, 0 AS at FROM g
+    UNION ALL SELECT s.i, list_transform(range(len(load)), lambda x: load[x + 1] + CASE WHEN x + 1 = list_position(load, list_min(load)) THEN s.b::BIGINT ELSE 0 END), list_position(load, list_min(load)) FROM w JOIN s ON s.i = w.i + 1)
+  SELECT (w.at - 1)::BIGINT AS group_no, sum(s.n)::BIGINT AS n_records, sum(s.b)::BIGINT AS n_bytes FROM w JOIN s USING (i) GROUP BY w.at"""
+
 SQL = {
     "p1_key_stats": f"""WITH {_MELT}, g AS (
       SELECT field_name, key_value, count(*) AS n, count(v) AS n_values, CAST(sum(v) AS BIGINT) AS total FROM m GROUP BY ALL),
@@ -107,6 +119,7 @@ SQL = {
     "p2_found": f"WITH {_SPANS} SELECT pid, cat, reach AS gap_ts, ts AS gap_te FROM o WHERE reach < ts",
     "p3_found": f"""WITH {_LINES} SELECT DISTINCT j->'args'->>'hhash' AS host_hash, CAST(j->>'pid' AS BIGINT) AS pid, CAST(j->>'id' AS BIGINT) AS record_id
       FROM j WHERE j IS NOT NULL""",
+    "p3_manifest": _MANIFEST,
     "p4_series": f"""WITH {_USABLE}, {_increments('dur')}, {_increments('size')},
       p AS (SELECT pid, CAST(floor(ts / {FIVE_SECONDS}) AS BIGINT) AS p FROM r), n AS (SELECT pid, p, count(*) AS n FROM p GROUP BY ALL),
       g AS (SELECT pid, unnest(range(min(p), max(p) + 1)) AS period_no FROM p GROUP BY pid)

@@ -46,7 +46,7 @@ def test_groups_are_balanced_and_the_manifest_holds_every_record(spark):
 
 def test_longest_first_to_the_least_loaded(spark):
     sizes = spark.createDataFrame([(i, n) for i, n in enumerate([7, 6, 5, 4, 3])], "file_id bigint, n_bytes bigint")
-    plan = {r["file_id"]: r["group_no"] for r in C.plan_groups(sizes, 5, 2).collect()}
+    plan = {r["file_id"]: r["groups"][0] for r in C.plan_groups(sizes, 5, 2).collect()}
     loads = [sum(n for i, n in enumerate([7, 6, 5, 4, 3]) if plan[i] == g) for g in (0, 1)]
     assert sorted(loads) == [11, 14]
 
@@ -61,3 +61,17 @@ def test_a_lost_record_is_not_published(spark, monkeypatch):
     monkeypatch.setattr(C, "_write_groups", lambda folder: lambda batches: iter(()))
     with pytest.raises(RuntimeError, match="nothing was published"):
         C.compact(spark.createDataFrame([(1, line("h", 1, 1), 1, "")], KINDS))
+
+
+def test_a_file_beyond_the_target_is_split(spark):
+    big = "\n".join(line("h", 1, j, pad="p" * 200) for j in range(400))
+    folder = C.compact(spark.createDataFrame([(1, big, 1, ""), (2, line("h", 2, 1), 1, ""), (None, line("h", 3, 1), 1, "")], KINDS), target=10_000)
+    manifest = C.read_manifest(folder)
+    assert len(manifest) >= 9 and max(m["n_bytes"] for m in manifest) < 20_000
+    assert sum(m["n_records"] for m in manifest) == 402 == C.read_compacted(spark, folder).distinct().count()
+
+
+def test_what_is_not_json_is_no_record(spark):
+    bad = ['{"id": 1, "pid": 1, "args": {"hhash": "h"}, "x": NaN}', '{"id": 2, "pid": 1, "args": {"hhash": "h"}, "x": -Infinity}', "{'id': 3}", '{"id": 4,}', '{"id": 5} {"id": 6}']
+    folder = C.compact(spark.createDataFrame([(1, "\n".join([*bad, line("h", 1, 7)]), 1, "")], KINDS))
+    assert rows(C.read_compacted(spark, folder), "record_id") == [(7,)]
