@@ -34,7 +34,8 @@ def percentiles(counts: DataFrame, groups: list[str], percents: tuple[int, ...])
     counts: as from value_counts. Null group keys form groups of their own;
     groups without values don't appear; ties count as often as they occur.
     """
-    spread = counts.select(*groups, "value", "cnt").repartitionByRange(*groups, "value").sortWithinPartitions(*groups, "value")
+    counts = written(counts.select(*groups, "value", "cnt"), "counts")  # range partitioning reads its input twice
+    spread = counts.repartitionByRange(*groups, "value").sortWithinPartitions(*groups, "value")
     # written, so that every later step sees the same partitions
     spread = written(spread.withColumn("part", F.spark_partition_id()), "ranges")
     within = Window.partitionBy("part", *groups).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
