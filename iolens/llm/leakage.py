@@ -6,6 +6,12 @@ corpus and items, and the slots of matching windows are compared: all equal is
 a verbatim leak, a one-to-one renaming is a re-parameterised question. The
 placeholder is a function of the word alone, so equal word windows always have
 equal templates and no verbatim leak is missed.
+
+In a re-parameterised window few content words may differ, so of their places,
+dealt into one part more than may differ, one part is untouched: the hash join
+takes the template together with the words of a part. That loses no pair, and a
+template that is frequent in the corpus (twelve content words in code) isn't
+joined by its form alone.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from pyspark.sql import functions as F
 from iolens.llm import textscan as ts
 
 WINDOW = 12
-#: Characters of items sent to the executors at once; more items are handled in several blocks.
+#: Characters of items sent to the executors at once (a quarter of it for re-parameterised leaks); more items are handled in several blocks.
 ITEM_BLOCK = 4_000_000
 #: Words for numbers.
 NUMBER_WORDS = (
@@ -47,6 +53,8 @@ FUNCTION_WORDS = (
 FILLERS = 4
 #: Of a window's content words that are no number, unit or learned name at most one in so many may differ; else the form alone would match.
 KEPT = 3
+#: Places of a re-parameterised window whose words must be the item's own, at least: function words and content words that may not differ.
+FIXED = 4
 
 
 @dataclass
@@ -142,18 +150,49 @@ def windows(words: Words, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     return at, ts.run_hashes(words.kind, at, at + size).view(np.int64)
 
 
-def _window_batch(ids: pa.Array, words: Words, at: np.ndarray, template: np.ndarray, id_name: str, size: int) -> pa.RecordBatch:
+def _window_batch(ids: pa.Array, words: Words, at: np.ndarray, key: np.ndarray, id_name: str, size: int) -> pa.RecordBatch:
     codes = words.code[ts.spread(at, np.full(len(at), size))]
     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * size, pa.int32()), pa.array(codes, pa.int64()))
     firsts = np.r_[0, np.flatnonzero(np.diff(words.owner)) + 1] if len(words.owner) else np.empty(0, np.int64)
     place = at - firsts[np.searchsorted(firsts, at, "right") - 1] if len(at) else at
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(words.owner[at])), pa.array(place, pa.int32()), pa.array(template, pa.int64()), lists], names=[id_name, "place", "template", "codes"])
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(words.owner[at])), pa.array(place, pa.int32()), pa.array(key, pa.int64()), lists], names=[id_name, "place", "key", "codes"])
+
+
+def _part_keys(words: Words, at: np.ndarray, template: np.ndarray, mask: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each window's template and of its words at the places in the mask."""
+    h = template.view(np.uint64) ^ (mask.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for i in range(size):
+        w = (words.code[at + i].view(np.uint64) + np.uint64(i + 1)) * np.uint64(0xD6E8FEB86659FD93)
+        w ^= w >> np.uint64(32)
+        h = np.where(mask >> i & 1, (h ^ w) * np.uint64(0xBF58476D1CE4E5B9), h)
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
 
 
-def _item_blocks(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
+def _parts(own: np.ndarray, literal: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, mask): the parts of each item window's places, and all places, by which verbatim windows meet.
+
+    own: windows x size, the content words that are no number, unit or learned
+    name; literal: their number of other words that stand for themselves. A
+    window with fewer than FIXED words to be kept has no parts.
+    """
+    n = own.sum(1)
+    may = n // KEPT
+    bit = np.int64(1) << np.arange(size, dtype=np.int64)
+    turn = np.cumsum(own, 1) - 1
+    which, masks = [np.arange(len(own))], [np.full(len(own), (1 << size) - 1, np.int64)]
+    fit = literal + n - may >= FIXED
+    for part in range(size // KEPT + 1):
+        some = np.flatnonzero(fit & (part <= may))
+        which.append(some)
+        masks.append(((own & (turn % (may + 1)[:, None] == part))[some] * bit).sum(1))
+    return np.concatenate(which), np.concatenate(masks)
+
+
+def _item_blocks(items: DataFrame, most: int) -> Iterator[tuple[list[int], list[str]]]:
     ids, texts, size = [], [], 0
     for r in items.where("text is not null").select("item_id", "text").toLocalIterator():
-        if texts and size + len(r["text"]) > ITEM_BLOCK:
+        if texts and size + len(r["text"]) > most:
             yield ids, texts
             ids, texts, size = [], [], 0
         ids.append(r["item_id"])
@@ -167,7 +206,9 @@ def matching_windows(docs: DataFrame, items: DataFrame, size: int = WINDOW, rena
     """doc_id, place, codes and item_id, item_codes, item_own of window pairs with one template.
 
     item_own: places in the window whose word is a content word and no number,
-    unit or learned name. Without `renamed` the pairs suffice for verbatim leaks only.
+    unit or learned name. With `renamed` the pairs are those that can be a
+    verbatim or a re-parameterised leak (a pair may come more than once);
+    without, they suffice for verbatim leaks only.
 
     docs: doc_id, text; items: item_id, text (both bigint ids; further columns
     are ignored). Words are maximal runs of letters and digits, lower-cased,
@@ -176,35 +217,51 @@ def matching_windows(docs: DataFrame, items: DataFrame, size: int = WINDOW, rena
     window hashes are broadcast; every document is scanned whole.
     """
     spark = docs.sparkSession
-    kinds = "doc_id bigint, place int, template bigint, codes array<bigint>"
+    kinds = "doc_id bigint, place int, key bigint, codes array<bigint>"
     out = None
     names = learned_names(items) if renamed else None
-    for ids, texts in _item_blocks(items):
-        lexicon, literal = build_lexicon(texts, names)
+    for ids, texts in _item_blocks(items, ITEM_BLOCK // 4 if renamed else ITEM_BLOCK):
+        lexicon, content = build_lexicon(texts, names)
         words = words_of(texts, lexicon)
         at, template = windows(words, size)
-        own = pa.Table.from_batches([_window_batch(pa.array(ids, pa.int64()), words, at, template, "item_id", size)])
-        kept = np.isin(words.code, literal)[ts.spread(at, np.full(len(at), size))].reshape(-1, size) & (words.kind[at[:, None] + np.arange(size)] != NUM)
-        places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept.sum(1))], pa.int32()), pa.array(np.nonzero(kept)[1], pa.int32()))
-        side = spark.createDataFrame(own.rename_columns(["item_id", "item_place", "template", "item_codes"]).append_column("item_own", places))
-        sent = spark.sparkContext.broadcast((lexicon, np.unique(template)))
+        places = at[:, None] + np.arange(size)
+        own = np.isin(words.code, content)[places] & (words.kind[places] == NAME)
+        key, masks = template, None
+        if renamed:
+            which, mask = _parts(own, (words.kind[places] >= LITERAL).sum(1), size)
+            masks = np.unique(np.stack([template[which], mask], 1), axis=0) if len(which) else np.empty((0, 2), np.int64)
+            at, template, own = at[which], template[which], own[which]
+            key = _part_keys(words, at, template, mask, size)
+        side = pa.Table.from_batches([_window_batch(pa.array(ids, pa.int64()), words, at, key, "item_id", size)])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(own.sum(1))], pa.int32()), pa.array(np.nonzero(own)[1], pa.int32()))
+        side = spark.createDataFrame(side.rename_columns(["item_id", "item_place", "key", "item_codes"]).append_column("item_own", lists))
+        sent = spark.sparkContext.broadcast((lexicon, np.unique(template), np.unique(key), masks))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            lexicon, wanted = sent.value
+            lexicon, templates, keys, masks = sent.value
+            if not len(keys):
+                return
             for batch in batches:
                 for first, held in ts.blocks(batch.column(1).to_pylist()):
                     words = words_of(held, lexicon)
-                    at, template = windows(words, size)
-                    if not len(wanted):
-                        continue
-                    hit = wanted[np.minimum(np.searchsorted(wanted, template), len(wanted) - 1)] == template
-                    if hit.any():
-                        yield _window_batch(batch.column(0).slice(first, len(held)), words, at[hit], template[hit], "doc_id", size)
+                    at, key = windows(words, size)
+                    hit = templates[np.minimum(np.searchsorted(templates, key), len(templates) - 1)] == key
+                    at, key = at[hit], key[hit]
+                    if masks is not None and len(at):
+                        # every part that item windows of this template have
+                        lo, hi = (np.searchsorted(masks[:, 0], key, side) for side in ("left", "right"))
+                        part = ts.spread(lo, hi - lo)
+                        at, template = np.repeat(at, hi - lo), np.repeat(key, hi - lo)
+                        key = _part_keys(words, at, template, masks[part, 1], size)
+                        hit = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+                        at, key = at[hit], key[hit]
+                    if len(at):
+                        yield _window_batch(batch.column(0).slice(first, len(held)), words, at, key, "doc_id", size)
 
         found = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("text is not null").mapInArrow(scan, kinds)
-        pairs = found.join(F.broadcast(side), "template")  # bounded by ITEM_BLOCK
+        pairs = found.join(F.broadcast(side), "key")  # bounded by ITEM_BLOCK
         out = pairs if out is None else out.unionByName(pairs)
-    return out if out is not None else spark.createDataFrame([], "template bigint, doc_id bigint, place int, codes array<bigint>, item_id bigint, item_place int, item_codes array<bigint>, item_own array<int>")
+    return out if out is not None else spark.createDataFrame([], "key bigint, doc_id bigint, place int, codes array<bigint>, item_id bigint, item_place int, item_codes array<bigint>, item_own array<int>")
 
 
 def verbatim(pairs: DataFrame) -> DataFrame:
@@ -217,8 +274,8 @@ def reparameterised(pairs: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows: every document and item whose template it holds with other values.
 
     A window counts if its slots map one-to-one onto the item's, at least one
-    differs, and of the content words that are no number, unit or learned name
-    at most one in KEPT does. Pairs that are also verbatim leaks elsewhere are kept.
+    differs, of the content words that are no number, unit or learned name at
+    most one in KEPT does, and FIXED of its words at least must be the item's. Pairs that are also verbatim leaks elsewhere are kept.
     """
     zipped = F.size(F.array_distinct(F.arrays_zip("codes", "item_codes")))
     renamed = pairs.where((zipped == F.size(F.array_distinct("codes"))) & (zipped == F.size(F.array_distinct("item_codes"))) & F.expr("codes != item_codes") & F.expr(f"{KEPT} * size(filter(item_own, i -> codes[i] != item_codes[i])) <= size(item_own)"))
