@@ -3,7 +3,7 @@
 Method: a convolutional text classifier, trained here in numpy: hashed word
 embeddings, filters of several widths over consecutive words, max pooling over
 the whole text and a logistic output; thresholds are calibrated by language on
-held-out ratings. Words are folded first, so that other spellings (look-alike
+held-out ratings. Trainings run as tasks side by side. Words are folded first, so that other spellings (look-alike
 letters, digits for letters, spaced or repeated letters, masked words) meet the
 plain ones. For scoring, each hashed word's share in each filter is a table row,
 so a text costs a few look-ups per word.
@@ -11,21 +11,27 @@ so a text costs a few look-ups per word.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iolens.llm import textscan as ts
 from iolens.llm.seeds import ABUSIVE, HARMLESS
-from iolens.runtime import BROADCAST_ROWS
+from iolens.runtime import shared_dir, written
 
 #: Rated documents used for training, at most; the lowest by hash of doc_id.
 MAX_RATED = 3000
+#: Their words together, at most (12 bytes each on the driver); documents come in the order of that hash, whole.
+MAX_WORDS = 4_000_000
 BUCKETS = 1 << 15
 DIM, FILTERS, WIDTHS = 12, 12, (1, 2, 3, 4)
 PAD, NUMBER_WORD, HEX_WORD, MASKED_WORD, UNKNOWN_WORD, FIRST = 0, 1, 2, 3, 4, 8
@@ -89,10 +95,13 @@ def _spelled_out(points: np.ndarray) -> np.ndarray:
 
 
 def folded_words(texts: list[str], seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words of all texts, and the text of each; words not marked in `seen` (if given) share one bucket.
+    """Hashed words of all texts, and the text of each; words not marked in `seen` (if given) share one bucket."""
+    word, _, owner = _folded(texts, seen)
+    return word, owner
 
-    `seen` is filled in if it is all zero.
-    """
+
+def _folded(texts: list[str], seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As folded_words, with each word's mark between."""
     fold = _fold_table()
     points, _ = ts.code_points(texts)
     points = points[~_tables["gone"][points]]
@@ -118,7 +127,7 @@ def folded_words(texts: list[str], seen: np.ndarray | None = None) -> tuple[np.n
     low, new, letter, digit, masked, owner_at = low[part], new[part], letter[part], digit[part], masked[part], owner_at[part]
     starts = np.flatnonzero(new)
     if not len(starts):
-        return np.empty(0, np.int32), np.empty(0, np.int64)
+        return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
     ends = np.r_[starts[1:], len(low)]
     letters, digits = np.add.reduceat(letter.astype(np.int32), starts), np.add.reduceat(digit.astype(np.int32), starts)
     hexed = np.add.reduceat((digit | ((low >= 0x61) & (low <= 0x66))).astype(np.int32), starts)
@@ -126,16 +135,13 @@ def folded_words(texts: list[str], seen: np.ndarray | None = None) -> tuple[np.n
     size = ends - starts
     h = ts.run_hashes(_tables["letter"][low], starts, ends)
     word = (h % np.uint64(BUCKETS - FIRST)).astype(np.int32) + FIRST
+    mark = (h >> np.uint64(40)).astype(np.int64) % SEEN
     if seen is not None:
-        mark = (h >> np.uint64(40)).astype(np.int64) % SEEN
-        if seen.any():
-            word[seen[mark] == 0] = UNKNOWN_WORD
-        else:
-            seen[mark] = 1
+        word[seen[mark] == 0] = UNKNOWN_WORD
     word[stars >= 2] = MASKED_WORD
     word[(hexed == size) & (size >= 7) & (digits > 0)] = HEX_WORD
     word[(letters == 0) | (digits > 3)] = NUMBER_WORD
-    return word, owner_at[starts]
+    return word, mark, owner_at[starts]
 
 
 @dataclass
@@ -273,57 +279,145 @@ class Classifier:
     threshold: float
     by_lang: dict[str | None, float]
     seen: np.ndarray
+    #: (lang, rated, of them abusive, flagged, rightly flagged) of held-out documents, against their ratings as given
+    held_out: list[tuple] = field(default_factory=list)
+
+    def limits(self, lang: list[str | None]) -> np.ndarray:
+        return np.array([self.by_lang.get(x, self.threshold) for x in lang])
+
 
+@dataclass
+class Sample:
+    """Rated documents as hashed words, with their words' marks."""
+
+    docs: list[np.ndarray]
+    marks: list[np.ndarray]
+    target: np.ndarray
+    lang: list[str | None]
+
+    def key(self) -> str:
+        """A name that differs whenever the sample or a parameter of the network does."""
+        h = hashlib.md5(repr((BUCKETS, DIM, FILTERS, WIDTHS, EPOCHS, BATCH, RATE, FOLDS, PRIOR, DOUBTED, self.lang, ABUSIVE, HARMLESS)).encode())
+        for x in (*self.docs, *self.marks, self.target):
+            h.update(np.ascontiguousarray(x).tobytes() + b"|")
+        return h.hexdigest()
+
+
+def hashed(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The hashed words of each text, and their marks."""
+    word, mark, owner = _folded(texts)
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return [word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], [np.unique(mark[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def _trained(docs: list[np.ndarray], soft: np.ndarray, weight: np.ndarray, epochs: int, held: np.ndarray | None) -> tuple | np.ndarray:
+    """The parts of the model of all texts, or the scores of the held-out ones by a model of the others."""
+    if held is None:
+        m = train(docs, soft, weight, epochs)
+        return m.table, m.filters, m.bias, m.out, m.base
+    own = np.setdiff1d(np.arange(len(docs)), held)
+    m = train([docs[i] for i in own], soft[own], weight[own], epochs)
+    kept = [docs[i] for i in held]
+    return scores(m, m.parts(), np.concatenate(kept), np.repeat(np.arange(len(held)), [len(x) for x in kept]), len(held))
+
+
+def _side_by_side(spark: SparkSession | None, docs: list[np.ndarray], soft: np.ndarray, jobs: list[tuple]) -> list:
+    """A task per training; without a session one after another. The texts sent are bounded by MAX_WORDS."""
+    if spark is None:
+        return [_trained(docs, soft, *j) for j in jobs]
+    sent = spark.sparkContext.broadcast((docs, soft, jobs))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            docs, soft, jobs = sent.value
+            yield pd.DataFrame({"k": pdf["k"], "made": [pickle.dumps(_trained(docs, soft, *jobs[k])) for k in pdf["k"]]})
 
-def _held_out(docs: list[np.ndarray], n: int, soft: np.ndarray, weight: np.ndarray, epochs: int) -> np.ndarray:
-    """Scores of the first n texts, each by a model trained without its fold; the others are always in training."""
-    held = np.zeros(n)
-    fold = np.arange(n) % FOLDS
-    for k in range(FOLDS if n >= 2 * FOLDS else 0):
-        own = np.r_[np.flatnonzero(fold != k), np.arange(n, len(docs))]
-        m = train([docs[i] for i in own], soft[own], weight[own], epochs)
-        out = np.flatnonzero(fold == k)
-        kept = [docs[i] for i in out]
-        held[out] = scores(m, m.parts(), np.concatenate(kept), np.repeat(np.arange(len(out)), [len(x) for x in kept]), len(out))
-    return held
+    rows = spark.range(len(jobs)).selectExpr("cast(id as int) as k").repartitionById(len(jobs), "k").mapInPandas(run, "k int, made binary").collect()  # a row per training
+    return [pickle.loads(r["made"]) for r in sorted(rows, key=lambda r: r["k"])]
 
 
-def fit(texts: list[str], target: np.ndarray, lang: list[str | None]) -> Classifier:
-    """Trains on rated texts and the seed phrases; thresholds from scores of held-out folds.
+def fit(sample: Sample, spark: SparkSession | None = None, seeds: bool = True) -> Classifier:
+    """Trains on rated documents and (unless seeds is false) the seed phrases; thresholds from scores of held-out folds.
 
     Ratings that a first round of held-out scores contradicts weigh less in the
     second round and in the final training, since raters err now and then.
     """
-    every = [*texts, *ABUSIVE, *HARMLESS]
+    more = [*ABUSIVE, *HARMLESS] if seeds else []
+    extra, marks = hashed(more) if more else ([], [])
+    docs, target, n = [*sample.docs, *extra], sample.target, len(sample.docs)
     seen = np.zeros(SEEN, np.uint8)
-    word, owner = folded_words(every, seen)
-    bounds = np.searchsorted(owner, np.arange(len(every) + 1))
-    docs = [word[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-    n = len(texts)
-    t = np.r_[target, np.ones(len(ABUSIVE)), np.zeros(len(HARMLESS))]
+    for m in (*sample.marks, *marks):
+        seen[m] = 1
+    t = np.r_[target, np.ones(len(ABUSIVE)), np.zeros(len(HARMLESS))] if seeds else target
     soft = 0.01 + 0.98 * t
-    weight = np.ones(len(every))
-    first = _held_out(docs, n, soft, weight, EPOCHS // 2)
+    weight = np.ones(len(docs))
+    folds = [np.arange(k, n, FOLDS) for k in range(FOLDS)] if n >= 2 * FOLDS else []
+
+    def held_out(parts: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(n)
+        for at, s in zip(folds, parts, strict=True):
+            out[at] = s
+        return out
+
+    first = held_out(_side_by_side(spark, docs, soft, [(weight, EPOCHS // 2, f) for f in folds]) if folds else [])
     limit = best_threshold(first, target)
     weight[:n] = np.where((target >= 0.5) & (first < limit / 2) | (target < 0.5) & (first > (1 + limit) / 2), DOUBTED, 1)
-    held = _held_out(docs, n, soft, weight, EPOCHS)
+    *parts, model = _side_by_side(spark, docs, soft, [*((weight, EPOCHS, f) for f in folds), (weight, EPOCHS, None)])
+    held = held_out(parts)
     sure = weight[:n] == 1
     whole = best_threshold(held[sure], target[sure])
-    by_lang = {}
-    for x in set(lang):
-        at = np.array([y == x for y in lang]) & sure
+    by_lang, quality = {}, []
+    for x in sorted(set(sample.lang), key=str):
+        own = np.array([y == x for y in sample.lang])
+        at = own & sure
         k = int((target[at] >= 0.5).sum())
         by_lang[x] = (k * best_threshold(held[at], target[at]) + PRIOR * whole) / (k + PRIOR)
-    return Classifier(train(docs, soft, weight), whole, by_lang, seen)
+        flagged, bad = held[own] >= by_lang[x], target[own] >= 0.5
+        quality.append((x, int(own.sum()), int(bad.sum()), int(flagged.sum()), int((flagged & bad).sum())))
+    return Classifier(Model(*model), whole, by_lang, seen, quality)
 
 
-def rated(docs: DataFrame, labels: DataFrame, most: int = MAX_RATED) -> tuple[list[str], np.ndarray, list[str | None]]:
-    """Texts, mean ratings and languages of at most `most` rated documents."""
+def rated(docs: DataFrame, labels: DataFrame, most: int = MAX_RATED, words: int = MAX_WORDS) -> Sample:
+    """Hashed words, mean ratings and languages of at most `most` rated documents of at most `words` words together.
+
+    docs: doc_id, text, lang; labels: doc_id, toxic. Documents are scanned once
+    and hashed where they lie; rows without text, and those beyond the bounds
+    in the order of a hash of doc_id, are left out.
+    """
     mean = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
-    some = mean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(min(most, BROADCAST_ROWS))
-    rows = docs.select("doc_id", "text", "lang").where("text is not null").join(F.broadcast(some), "doc_id").collect()  # bounded by `most`
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"] for r in rows], np.array([float(r["toxic"]) for r in rows]), [r["lang"] for r in rows]
+    some = mean.withColumn("o", F.xxhash64("doc_id")).orderBy("o", "doc_id").limit(most)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [hashed(held) for _, held in ts.blocks(pdf["text"].tolist())]
+            words, marks = ([x.astype("<i4") for m in made for x in m[i]] for i in (0, 1))
+            yield pdf.drop(columns="text").assign(words=[x.tobytes() for x in words], marks=[x.tobytes() for x in marks], n=list(map(len, words)))
+
+    kept = docs.select(F.col("doc_id").cast("bigint"), "text", "lang").where("text is not null").join(F.broadcast(some), "doc_id")  # `most` rows
+    kept = written(kept.select("doc_id", "lang", "toxic", "o", "text").mapInPandas(run, "doc_id bigint, lang string, toxic double, o bigint, words binary, marks binary, n bigint"), "rated")
+    sizes = kept.groupBy("o", "doc_id").agg(F.sum("n").alias("n")).collect()  # `most` rows without their words
+    sizes.sort(key=lambda r: (r["o"], r["doc_id"]))
+    inside = [r["doc_id"] for r, s in zip(sizes, np.cumsum([r["n"] for r in sizes]), strict=True) if s <= words]
+    rows = kept.where(F.col("doc_id").isin(inside)).collect()  # `words` words
+    rows.sort(key=lambda r: (r["doc_id"], bytes(r["words"])))
+    words, marks = ([np.frombuffer(r[c], "<i4").astype(t) for r in rows] for c, t in (("words", np.int32), ("marks", np.int64)))
+    return Sample(words, marks, np.array([float(r["toxic"]) for r in rows]), [r["lang"] for r in rows])
+
+
+def fitted(spark: SparkSession, sample: Sample, anew: bool = False) -> Classifier:
+    """The classifier of this very sample, kept in the shared folder; fitted where there is none yet, or anew."""
+    folder = shared_dir(spark)
+    fs, root = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+    path = f"{root}/iolens-abuse-{sample.key()}"
+    if not anew and fs.get_file_info(path).type != pafs.FileType.NotFound:
+        with fs.open_input_stream(path) as f:
+            return pickle.loads(f.read())
+    made = fit(sample, spark)
+    fs.create_dir(root)
+    with fs.open_output_stream(own := f"{path}.{uuid.uuid4().hex}") as f:
+        f.write(pickle.dumps(made))
+    fs.move(own, path)
+    return made
 
 
 def score_documents(docs: DataFrame, classifier: Classifier) -> DataFrame:
@@ -343,7 +437,7 @@ def score_documents(docs: DataFrame, classifier: Classifier) -> DataFrame:
             for first, held in ts.blocks(pdf["text"].tolist()):
                 word, owner = folded_words(held, c.seen)
                 out[first : first + len(held)] = scores(c.model, parts, word, owner, len(held))
-            limit = np.array([c.by_lang.get(x, c.threshold) for x in pdf["lang"].where(pdf["lang"].notna(), None)])
+            limit = c.limits(list(pdf["lang"].where(pdf["lang"].notna(), None)))
             null = pdf["text"].isna().to_numpy()
             score = pd.Series(out, dtype="Float64")
             score[null] = pd.NA

@@ -108,7 +108,8 @@ def test_renamed_slots_are_reported_apart(spark):
     same = "If a farmer trades 12 wagons for 40 barrels and keeps 12 wagons how many barrels remain after that day"
     torn = "If a farmer trades 12 wagons for 40 barrels and keeps 99 wagons how many barrels remain after that day"
     exact, renamed = found(spark, [same, torn, item], [item])
-    assert exact == [(2, 0)] and renamed[0]["n_windows"] > renamed[1]["n_windows"] if 1 in renamed else 0 in renamed
+    assert exact == [(2, 0)]
+    assert set(renamed) == {0, 1} and renamed[0]["n_windows"] > renamed[1]["n_windows"] > 0  # torn where both numbers meet
 
 
 def test_every_renamed_item_of_a_document_comes_out(spark):
@@ -125,6 +126,65 @@ def test_every_renamed_item_of_a_document_comes_out(spark):
     assert rows(L.best_items(each)) == [(1, 3, best, n[best])]
 
 
+def brute_renamed(spark, docs, items):
+    names = L.learned_names(spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string"))
+    form = set(L.FUNCTION_WORDS)
+
+    def kind(w):
+        if w in L.NUMBER_WORDS or w.isdigit():
+            return "#"
+        return "unit" if w in L.UNIT_WORDS else w if w in form and w not in names else "name"
+
+    out = set()
+    for d, text in enumerate(docs):
+        for i, item in enumerate(items):
+            for x in zip(*[L.plain_words(text)[k:] for k in range(12)]):
+                for y in zip(*[L.plain_words(item)[k:] for k in range(12)]):
+                    if x == y or [*map(kind, x)] != [*map(kind, y)] or len(set(zip(x, y))) != len(set(x)) or len(set(x)) != len(set(y)):
+                        continue
+                    own = [k for k in range(12) if kind(y[k]) == "name" and y[k] not in names]
+                    fixed = sum(kind(w) not in ("#", "unit", "name") for w in y) + len(own) - len(own) // 3
+                    if 3 * sum(x[k] != y[k] for k in own) <= len(own) and fixed >= 4:
+                        out.add((d, i))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_renamed_windows_against_brute_force(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    vocabulary = ["the", "of", "and", "is", "two", "7", "days", "kiln", "loom", "mill", "barrel", "lantern", "sluice", "weaver", "token", "queue"]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(10, 24))) for _ in range(6)] + ["kiln loom mill barrel lantern sluice weaver token queue stage shard probe ledger"]
+    swap = lambda t: " ".join(rng.choice(["nine", "12"]) if w in ("two", "7") else rng.choice(["anvil", "forge"]) if rng.random() < 0.12 else w for w in t.split())
+    docs = [f"so {swap(rng.choice(items))} then {swap(rng.choice(items))}" for _ in range(20)] + ["a b c d e f g h i j k l m n o p"]
+    want = brute_renamed(spark, docs, items)
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    e = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    assert len(want) > 5
+    for block in (4, 1000, 4_000_000):
+        monkeypatch.setattr(L, "ITEM_BLOCK", block)
+        assert rows(L.reparameterised(L.matching_windows(d, e)), "doc_id", "item_id") == want
+
+
+def test_planted_questions_with_other_values_are_found(spark):
+    rng = random.Random(8)
+    forms = [
+        "before {n} o'clock the {a} walked past a {b} {c} counted {m} {d} and noted their {e}",
+        "if the {e} of a {b} {c} doubles within {n} days how does the {f} of the {d} change",
+        "no {a} may open the {b} {c} unless its {e} exceeds {n} units for {m} nights",
+        "suppose each {a} trades {n} {c} for {m} {b} {d} while the {e} stays constant",
+    ]
+    fill = lambda tag: {k: f"{k}{chr(97 + rng.randrange(9))}{tag}" for k in "abcdef"} | {"n": rng.choice(["two", "nine"]), "m": rng.choice(["ten", "six"])}
+    single = [f"the auditor of region{chr(97 + i)}x must weigh every crate before dusk and write that total under seal{chr(97 + i)}y so none is lost" for i in range(10)]
+    items = [forms[i % 4].format(**fill("x")) for i in range(40)] + single
+    changed = [forms[i % 4].format(**(fill("z") | {"n": "17", "m": "88"})) for i in range(40)] + [t.replace("auditor", "inspector").replace("dusk", "dawn") for t in single]
+    pad = "this commit moves the parser into its own module and keeps the old entry point for now"
+    d = spark.createDataFrame([(i, f"{pad}\n{t}. {pad}") for i, t in enumerate(changed)] + [(900, pad * 3)], "doc_id bigint, text string")
+    e = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = set(rows(L.reparameterised(L.matching_windows(d, e)), "doc_id", "item_id"))
+    planted = {(i, i) for i in range(50)}
+    assert len(planted & got) >= 0.9 * len(planted) and not any(i == 900 for i, _ in got)
+
+
 def test_names_without_other_fillers_and_block_by_block(spark, monkeypatch):
     items = [
         "when the old baker sells two loaves to three guests and gives two loaves away what is then left over",
@@ -178,7 +238,7 @@ def test_held_out_accuracy_with_wrong_ratings(spark):
     texts, target = corpus(400, 1)
     noisy = target.copy()
     noisy[::25] = 1 - noisy[::25]
-    c = A.fit(texts, noisy, ["en"] * 300 + [None] * 100)
+    c = A.fit(A.Sample(*A.hashed(texts), noisy, ["en"] * 300 + [None] * 100))
     new, truth = corpus(200, 2)
     df = spark.createDataFrame([(i, t, "en", "s", 0.0) for i, t in enumerate(new)] + [(900, None, None, None, 0.0), (901, "", "xx", "s", 0.0), (902, "buffer " * 20_000, "en", "s", 0.0)], "doc_id bigint, text string, lang string, source string, score double")
     got = {r["doc_id"]: r for r in A.score_documents(df, c).collect()}
@@ -187,8 +247,47 @@ def test_held_out_accuracy_with_wrong_ratings(spark):
     assert got[900]["score"] is None and not got[900]["flagged"] and not got[901]["flagged"] and not got[902]["flagged"]
 
 
+def test_held_out_figures_are_those_of_the_ratings(spark):
+    texts, target = corpus(240, 3)
+    c = A.fit(A.Sample(*A.hashed(texts), target, ["en"] * 200 + [None] * 40), seeds=False)
+    by = {r[0]: r for r in c.held_out}
+    assert by["en"][1] == 200 and by[None][1] == 40 and sum(r[2] for r in c.held_out) == int(target.sum())
+    assert sum(r[4] for r in c.held_out) >= 0.9 * target.sum() and sum(r[4] for r in c.held_out) >= 0.9 * sum(r[3] for r in c.held_out)
+
+
+def test_trainings_in_tasks_equal_those_in_turn_and_are_kept(spark, tmp_path, monkeypatch):
+    texts, target = corpus(90, 4)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(500, None, "en", "s", 1), (None, "a b", "en", "s", 1)], "doc_id bigint, text string, lang string, source string, o int")
+    labels = spark.createDataFrame([(i, 1, 2, int(t)) for i, t in enumerate(target)] + [(i, 2, 2, int(t)) for i, t in enumerate(target)] + [(500, 1, 0, 1), (None, 1, 0, 1), (3, 4, 0, None), (999, 1, 0, 1)], "doc_id bigint, rater_id int, quality int, toxic int")
+    sample = A.rated(docs, labels)
+    assert len(sample.docs) == 90 and np.array_equal(sample.target, target)
+    assert all(np.array_equal(a, b) for own, want in zip((sample.docs, sample.marks), A.hashed(texts), strict=True) for a, b in zip(own, want, strict=True))
+    one, two = A.fit(sample), A.fitted(spark, sample)
+    assert np.array_equal(one.model.table, two.model.table) and one.by_lang == two.by_lang
+    monkeypatch.setattr(A, "fit", lambda *a: pytest.fail("fitted again"))
+    assert np.array_equal(A.fitted(spark, A.rated(docs, labels)).model.out, one.model.out)
+    few = A.rated(docs, labels, words=100)
+    assert 0 < len(few.docs) < 20 and sum(map(len, few.docs)) <= 100
+
+
+def test_rates_are_those_of_the_scores(spark, tmp_path):
+    texts, target = corpus(60, 5)
+    spark.createDataFrame([(i, t, "en", "ab"[i % 2]) for i, t in enumerate(texts)] + [(90, None, None, "b"), (91, "x", None, None)], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 2, int(t)) for i, t in enumerate(target)], "doc_id bigint, rater_id int, quality int, toxic int").write.parquet(f"{tmp_path}/doc_labels.parquet")
+    scored = {r["doc_id"]: r for r in Q.p10_scores(spark, str(tmp_path)).collect()}
+    source = {i: "ab"[i % 2] for i in range(60)} | {90: "b", 91: None}
+    want = []
+    for s in (None, "a", "b"):
+        own = [scored[i] for i, x in source.items() if x == s]
+        n, k = sum(r["score"] is not None for r in own), sum(r["flagged"] for r in own)
+        want.append((s, n, k, k / n))
+    assert rows(Q.p10_rates(spark, str(tmp_path))) == want
+    assert rows(Q.p10_found(spark, str(tmp_path))) == sorted((i,) for i, r in scored.items() if r["flagged"])
+    assert sum(r["n_rated"] for r in Q.p10_held_out(spark, str(tmp_path)).collect()) == 60
+
+
 def test_few_or_no_ratings(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s"), (2, None, None, None)], "doc_id bigint, text string, lang string, source string")
     labels = spark.createDataFrame([], "doc_id bigint, rater_id int, quality int, toxic int")
-    c = A.fit(*A.rated(docs, labels))
+    c = A.fit(A.rated(docs, labels), spark)
     assert A.score_documents(docs, c).where("flagged").count() == 0
