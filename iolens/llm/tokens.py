@@ -1,12 +1,14 @@
 """Encoding of a whole corpus with a byte-level BPE vocabulary.
 
-Method: merge replay over the corpus. Texts are split into words with
-vectorised character-class scans; the distinct words of a block of the corpus
-are laid out as one array of tokens, with an inverted index from token pair to
-positions; merges are applied in rank order, each to all positions that hold
-its pair, updating only the touched neighbours. Words never interact, so
-replaying block by block gives the ids of one replay over all words at once,
-without a shuffle; words already replayed in a task are kept, up to a bound.
+Method: corpus-level merge replay. Texts are split into words with vectorised
+character-class scans and held as codes of the distinct words of their block of
+texts; the distinct words of the whole corpus are replayed once each: a task
+lays out its share of them as one array of tokens, with an inverted index from
+token pair to positions, and applies the merges in rank order, each to all
+positions that hold its pair, updating only the touched neighbours. The ids
+then return to the blocks' words, those of words that occur in most blocks by a
+broadcast of a bounded number of them, the others by a shuffle in which no word
+has more rows than a limit, and codes are replaced by ids block by block.
 """
 
 from __future__ import annotations
@@ -18,15 +20,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from iolens import runtime
 from iolens.llm import textscan as ts
+from iolens.runtime import written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-#: Words a task keeps with their ids; beyond, it starts anew.
-KEPT_WORDS = 400_000
+#: Words a task lays out at once.
+REPLAYED = 200_000
+#: Blocks a word may be in to meet them by the shuffle, at least.
+LEAST_HOT = 50
 
 
 def byte_symbols() -> list[str]:
@@ -158,61 +165,112 @@ def word_starts(points: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-class Encoder:
-    """Encodes lists of texts; keeps the words it has replayed."""
-
-    def __init__(self, data: bytes):
-        self.merges = Merges(data)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.empty(0, np.int32)
-        self.offsets = np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all texts, and the number of each text's ids (0 for empty and null)."""
-        out, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-        for _, held in ts.blocks(texts):
-            ids, n = self._block(held)
-            out.append(ids)
-            counts.append(n)
-        return np.concatenate(out), np.concatenate(counts)
-
-    def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        points, stops = ts.code_points(texts)
-        starts = word_starts(points)
-        ends = np.r_[starts[1:], len(points)]
-        real = points[starts] != ts.STOP
-        owner = np.searchsorted(stops, starts[real])
-        starts, ends = starts[real], ends[real]
-        code, uniques = pd.factorize(ts.run_hashes(points, starts, ends))
+def split(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The number of each text's words, the codes of all words, and the distinct words by code."""
+    points, stops = ts.code_points(texts)
+    starts = word_starts(points)
+    ends = np.r_[starts[1:], len(points)]
+    real = points[starts] != ts.STOP
+    owner = np.searchsorted(stops, starts[real])
+    starts, ends = starts[real], ends[real]
+    code, uniques = pd.factorize(ts.run_hashes(points, starts, ends))
+    head = np.zeros(len(uniques), np.int64)
+    head[code[::-1]] = np.arange(len(code))[::-1]
+    # equal hashes must be equal words
+    size = ends - starts
+    same = size[head[code]] == size
+    if same.all():
+        at = ts.spread(starts, size)
+        same = points[at] == points[ts.spread(starts[head[code]], size)]
+    if not same.all():
+        words = np.empty(len(starts), object)
+        words[:] = [points[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+        code, uniques = pd.factorize(words)
         head = np.zeros(len(uniques), np.int64)
         head[code[::-1]] = np.arange(len(code))[::-1]
-        # equal hashes must be equal words
-        size = ends - starts
-        same = size[head[code]] == size
-        if same.all():
-            at = ts.spread(starts, size)
-            same = points[at] == points[ts.spread(starts[head[code]], size)]
-        if not same.all():
-            words = [points[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-            code, uniques = pd.factorize(pd.array(words, dtype=object))
-            head = np.zeros(len(uniques), np.int64)
-            head[code[::-1]] = np.arange(len(code))[::-1]
-        if len(self.known) > KEPT_WORDS:
-            self.clear()
-        words = [points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(starts[head], ends[head], strict=True)]
-        fresh = [w for w in words if w not in self.known]
-        if fresh:
-            ids, n = replay([w.encode("utf-8", "surrogatepass") for w in fresh], self.merges)
-            base = len(self.known)
-            self.known.update(zip(fresh, range(base, base + len(fresh)), strict=True))
-            self.ids = np.concatenate([self.ids, ids])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(n)])
-        word = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[code]
-        first, n = self.offsets[word], self.offsets[word + 1] - self.offsets[word]
-        return self.ids[ts.spread(first, n)], np.bincount(owner, n, len(texts)).astype(np.int64)
+    words = [points[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for a, b in zip(starts[head], ends[head], strict=True)]
+    return np.bincount(owner, minlength=len(texts)), code, words
+
+
+def joined(counts: np.ndarray, code: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids of all texts, and the number of each text's, from words' codes and each word's ids."""
+    first = np.r_[0, np.cumsum(n)[:-1]] if len(n) else n
+    total = np.r_[0, np.cumsum(n[code])]
+    bounds = np.r_[0, np.cumsum(counts)]
+    return ids[ts.spread(first[code], n[code])], np.diff(total[bounds])
+
+
+def encode(texts: list[str | None], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """ids of all texts of a list, and the number of each text's ids (0 for empty and null)."""
+    out, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    for _, held in ts.blocks(texts):
+        counts, code, words = split(held)
+        ids, n = joined(counts, code, *replay(words, merges))
+        out.append(ids)
+        sizes.append(n)
+    return np.concatenate(out), np.concatenate(sizes)
+
+
+def _coded(doc_columns: list[str]):
+    """Texts (column 1) as packed codes of their block's words; the first row of a block holds the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for first, held in ts.blocks(batch.column(1).to_pylist()):
+                counts, code, words = split(held)
+                packed = code.astype("<u2" if len(words) <= 1 << 16 else "<u4")
+                bounds = np.r_[0, np.cumsum(counts)] * packed.itemsize
+                data = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+                lists = pa.array([words] + [None] * (len(held) - 1), pa.list_(pa.binary()))
+                kept = [batch.column(i).slice(first, len(held)) for i in range(batch.num_columns) if i != 1]
+                same = [pa.array(np.full(len(held), x), t) for x, t in ((block, pa.int64()), (packed.itemsize, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*kept, *same, data, lists], names=[*doc_columns, "block", "width", "codes", "words"])
+                block += 1
+
+    return run
+
+
+def replayed_words(words: DataFrame, vocabulary: bytes) -> DataFrame:
+    """word, n, ids: the ids of every distinct word (binary), each replayed once."""
+    sent = words.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges, held, size = None, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            tab = pa.Table.from_batches(held).combine_chunks()
+            ids, n = replay(tab["word"].to_pylist(), merges)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(ids, pa.int32()))
+            yield from tab.append_column("ids", lists).to_batches()
+
+        for batch in batches:
+            merges = merges or Merges(sent.value)
+            held.append(batch)
+            size += batch.num_rows
+            if size >= REPLAYED:
+                yield from done()
+                held, size = [], 0
+        if held:
+            yield from done()
+
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).mapInArrow(run, "word binary, n bigint, ids array<int>")
+
+
+def _assembled(doc_columns: list[str]):
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        docs, words = docs.combine_chunks(), words.combine_chunks()
+        order = np.argsort(np.asarray(words["code"]))
+        lists = words["ids"].combine_chunks().take(pa.array(order))
+        ids, n = np.asarray(lists.flatten()), np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
+        width = docs["width"][0].as_py()
+        counts = np.asarray(pa.compute.binary_length(docs["codes"])).astype(np.int64) // width
+        code = np.frombuffer(b"".join(docs["codes"].to_pylist()), f"<u{width}").astype(np.int64)
+        ids, sizes = joined(counts, code, ids.astype(np.int32), n)
+        out = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(ids, pa.int32()))
+        return pa.table([docs["doc_id"], out, *(docs[c] for c in doc_columns[1:])], names=["doc_id", "ids", *doc_columns[1:]])
+
+    return run
 
 
 def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -225,20 +283,17 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", v
     driver and sent to the executors (about 1.5 MB, as large as the vocabulary).
     """
     with open(vocabulary, "rb") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
-        for batch in batches:
-            encoder = encoder or Encoder(sent.value)
-            texts = batch.column(1)
-            # one block of texts at a time, so that ids of a large batch needn't lie in memory at once
-            for at in range(0, batch.num_rows, 1000):
-                part = texts.slice(at, 1000)
-                ids, counts = encoder.encode(part.to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))
-                more = [c.slice(at, 1000) for c in batch.columns[2:]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), lists, *more], names=["doc_id", "ids", *carried])
-
-    kinds = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField(c, docs.schema[c].dataType) for c in carried]])
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *carried).mapInArrow(run, kinds)
+        data = f.read()
+    own = {"doc_id": docs.schema[doc_id].dataType} | {c: docs.schema[c].dataType for c in carried}
+    kinds = T.StructType([*(T.StructField(c, t) for c, t in own.items()), *(T.StructField(c, t) for c, t in (("block", T.LongType()), ("width", T.IntegerType()), ("codes", T.BinaryType()), ("words", T.ArrayType(T.BinaryType()))))])
+    coded = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *carried).mapInArrow(_coded(list(own)), kinds)
+    coded = written(coded, "coded")  # read once for the words and once for the texts
+    uses = coded.where("words is not null").select("block", F.posexplode("words").alias("code", "word"))
+    known = written(replayed_words(uses.select("word"), data), "replayed")
+    n = known.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(LEAST_HOT, -(-n // max(1, runtime.BROADCAST_ROWS)))
+    often = F.broadcast(known.where(hot).select("word", "ids"))  # BROADCAST_ROWS words at most
+    rest = uses.join(often.select("word"), "word", "left_anti").join(known.where(~hot).select("word", "ids"), "word")
+    ready = uses.join(often, "word").unionByName(rest).select(F.col("block").alias("of"), "code", "ids")
+    result = T.StructType([T.StructField("doc_id", own.pop("doc_id")), T.StructField("ids", T.ArrayType(T.IntegerType())), *(T.StructField(c, t) for c, t in own.items())])
+    return coded.drop("words").groupBy("block").cogroup(ready.groupBy("of")).applyInArrow(_assembled(["doc_id", *own]), result)

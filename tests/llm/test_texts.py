@@ -28,7 +28,7 @@ def test_ids_equal_the_library_and_decode_to_the_text(spark):
     library = Tokenizer.from_file(T.VOCABULARY)
     library.encode_special_tokens = True
     want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    ids, counts = T.Encoder(open(T.VOCABULARY, "rb").read()).encode(texts)
+    ids, counts = T.encode(texts, T.Merges(open(T.VOCABULARY, "rb").read()))
     got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
     assert got == want
     assert [library.decode(g, skip_special_tokens=False) for g in got] == [t or "" for t in texts]
@@ -41,30 +41,31 @@ def test_ids_equal_the_library_and_decode_to_the_text(spark):
 def test_tokens_of_a_source_count_rows_with_null_and_equal_ids(spark, tmp_path):
     texts = [(None, "a", "the cat sat"), (None, "a", "on a mat"), (1, "a", "the cat"), (1, "a", "the cat"), (1, "b", "mat"), (2, None, None)]
     spark.createDataFrame(texts, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    _, n = T.Encoder(open(T.VOCABULARY, "rb").read()).encode([t for _, _, t in texts])
+    _, n = T.encode([t for _, _, t in texts], T.Merges(open(T.VOCABULARY, "rb").read()))
     want = [(None, 1, 0, 0), ("a", 4, int(n[:4].sum()), int(n[:4].max())), ("b", 1, int(n[4]), int(n[4]))]
     assert rows(Q.p8_source_tokens(spark, str(tmp_path))) == want
 
 
 @has_vocabulary
-def test_kept_words_are_bounded(monkeypatch):
-    monkeypatch.setattr(T, "KEPT_WORDS", 3)
-    monkeypatch.setattr(ts, "BLOCK", 20)
-    e = T.Encoder(open(T.VOCABULARY, "rb").read())
-    texts = [f"word{i} and word{i % 3}" for i in range(30)]
-    a = e.encode(texts)
-    monkeypatch.undo()
-    b = T.Encoder(e_data := open(T.VOCABULARY, "rb").read()).encode(texts)
-    assert e_data and np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]) and len(e.known) < 20
+@pytest.mark.parametrize(("hot", "sent", "block"), [(0, 10**6, 20), (0, 3, 20), (10**6, 10**6, 300)])
+def test_words_of_all_blocks_are_replayed_once(spark, monkeypatch, hot, sent, block):
+    monkeypatch.setattr(T, "LEAST_HOT", hot)
+    monkeypatch.setattr(T.runtime, "BROADCAST_ROWS", sent)
+    monkeypatch.setattr(T.ts, "BLOCK", block)
+    texts = [f"word{i} and word{i % 3}" for i in range(60)] + [None, "", "long " * 50]
+    df = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts)], "doc_id bigint, text string, even boolean")
+    ids, n = T.encode(texts, T.Merges(open(T.VOCABULARY, "rb").read()))
+    want = [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    got = {r["doc_id"]: (r["ids"], r["even"]) for r in T.encode_corpus(df, carried=("even",)).collect()}
+    assert got == {i: (w, i % 2 == 0) for i, w in enumerate(want)}
 
 
+@has_vocabulary
 def test_equal_hashes_of_different_words_are_told_apart(monkeypatch):
-    if not os.path.exists(T.VOCABULARY):
-        pytest.skip("no vocabulary file")
-    data = open(T.VOCABULARY, "rb").read()
-    want = T.Encoder(data).encode(["the cat sat on a mat"])
+    merges = T.Merges(open(T.VOCABULARY, "rb").read())
+    want = T.encode(["the cat sat on a mat"], merges)
     monkeypatch.setattr(ts, "run_hashes", lambda p, s, e: (e - s).astype(np.uint64))
-    assert np.array_equal(T.Encoder(data).encode(["the cat sat on a mat"])[0], want[0])
+    assert np.array_equal(T.encode(["the cat sat on a mat"], merges)[0], want[0])
 
 
 def test_blocks_and_stretches():
