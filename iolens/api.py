@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import asdict, dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from iolens.operators import system as Y
 from iolens.operators import views as V
 from iolens.presets import Preset, categories, detect, discovered
 from iolens.runtime import written
-from iolens.sources.trace import RawTraces, TraceFrames, frames, list_trace_files, read_raw
+from iolens.sources.trace import RawTraces, TraceFrames, frames, read_raw, trace_statuses
 
 
 @dataclass
@@ -50,16 +51,40 @@ class Request:
     def width(self) -> int:
         return round(self.time_granularity * S.TICKS)
 
-    def key(self) -> str:
-        """A name for checkpoints that differs whenever a parameter does."""
-        return hashlib.md5(json.dumps(asdict(self), sort_keys=True, default=str).encode()).hexdigest()
+    def key(self, state: str = "") -> str:
+        """A name for checkpoints that differs whenever a parameter or the state of the input does."""
+        return hashlib.md5(json.dumps([asdict(self), state], sort_keys=True, default=str).encode()).hexdigest()
+
+
+class TraceSource(Protocol):
+    """Where an analysis gets its events from."""
+
+    def read(self, spark: SparkSession, request: Request) -> tuple[TraceFrames, DataFrame | None]:
+        """Normalized frames, and the raw records if there are any."""
+
+    def state(self, spark: SparkSession, request: Request) -> str:
+        """A text that differs whenever the input does; names checkpoints."""
+
+
+class TraceFiles:
+    """The request's trace files."""
+
+    def read(self, spark: SparkSession, request: Request) -> tuple[TraceFrames, DataFrame | None]:
+        raw = read_raw(spark, sorted(self._files(spark, request)), request.extra_columns)
+        return frames(raw, request.width, round(request.profile_time_granularity * S.TICKS)), raw
+
+    def state(self, spark: SparkSession, request: Request) -> str:
+        return json.dumps(self._files(spark, request), sort_keys=True)
+
+    def _files(self, spark: SparkSession, request: Request) -> dict[str, tuple[int, int]]:
+        return trace_statuses(spark, request.trace_path, request.trace_groups)
 
 
 class AnalysisResult:
     """Lazy relations of one analysis; every accessor gives a DataFrame."""
 
-    def __init__(self, request: Request, preset: Preset, data: TraceFrames, raw: DataFrame | None = None):
-        self.request, self.preset, self.data, self._raw = request, preset, data, raw
+    def __init__(self, request: Request, preset: Preset, data: TraceFrames, raw: DataFrame | None = None, state: str | None = None):
+        self.request, self.preset, self.data, self._raw, self._state = request, preset, data, raw, state
         self.view_types = list(request.view_types)
         self._flat: dict[str, DataFrame] = {}
 
@@ -89,7 +114,7 @@ class AnalysisResult:
         if self.data.profiles is not None:
             own = self.data.profiles.withColumns({"time": F.col("time").cast("bigint")})
             detail = P.reconciled(detail, V.hlm(own, self.view_types), V.hlm_keys(self.view_types))
-        return self._kept(detail, "hlm").persist()
+        return self._kept(detail, "hlm")
 
     def get_hlm(self) -> DataFrame:
         return self._hlm
@@ -114,7 +139,7 @@ class AnalysisResult:
                     named = tuple(x for x in self.preset.layers if what != "file_name" or "posix" in x.name)
                     if named:
                         view = view.join(V.unique_counts(self.data.traces, by, named, what), by, "left")
-            view = self._kept(view, f"view_{by}") if self.request.checkpoint_dir else written(view, "view")
+            view = self._kept(view, f"view_{by}")
             view = metrics.shares(view, [m.prefix for m in which], by, [m.prefix for m in which if m.sized])
             view = metrics.across_layers(view, self.preset, by, self.request.derived)
             view = expressions.additional_metrics(view, self.request.additional_metrics, {"time_interval": str(self.request.time_granularity), "time_metric": "time_sum" if by == "proc_name" else "time_proc_max"})
@@ -127,8 +152,17 @@ class AnalysisResult:
         which = V.metrics(self.preset, self.request.derived)
         return V.logical_view(self.get_main_view(), parent, name, which)
 
+    @cached_property
+    def _stats(self) -> DataFrame:
+        return self._kept(U.raw_stats(self.data.traces, self.data.profiles), "stats")
+
     def raw_stats(self) -> DataFrame:
-        return U.raw_stats(self.data.traces, self.data.profiles)
+        return self._stats
+
+    def additional_metrics(self, by: str) -> DataFrame:
+        """Number, minimum, mean and maximum of the request's additional metrics, in the unit their names tell."""
+        view = self.get_flat_view(by)
+        return U.metric_summary(view, [m for m in self.request.additional_metrics if m in view.columns])
 
     def layer_summary(self, by: str) -> DataFrame:
         return U.layer_summary(self.get_flat_view(by), by, self.preset)
@@ -148,20 +182,24 @@ class AnalysisResult:
             found = self.get_analysis_facts(by)
             yield from () if found is None else found.toLocalIterator()
 
-    def to_fact_envelope(self) -> dict:
+    def all_facts(self) -> DataFrame | None:
+        """The facts of every view; None where no rule applies."""
         parts = [f for f in map(self.get_analysis_facts, self.view_types) if f is not None]
-        whole = parts[0] if parts else None
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        r = self.request
-        context = {"run_id": r.run_id, "layers": self.layers, "view_types": self.view_types, "time_granularity": r.time_granularity, "time_resolution": float(S.TICKS)}
-        return K.envelope(whole, context)
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
+    def fact_context(self) -> dict:
+        r, n = self.request, self.raw_stats().first()["total_event_count"]
+        return {"run_id": r.run_id, "layers": self.layers, "view_types": self.view_types, "time_granularity": r.time_granularity, "time_resolution": float(S.TICKS), "total_event_count": n}
+
+    def to_fact_envelope(self) -> dict:
+        """The envelope as a dict; for very many facts write it with sinks.to_files, which holds one at a time."""
+        return json.loads("".join(K.envelope_text(self.all_facts(), self.fact_context())))
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
-        """Through a Parquet checkpoint, where the request names a folder; _SUCCESS marks a whole one."""
+        """Written once: as a checkpoint where the request names a folder (_SUCCESS marks a whole one), else to the shared folder."""
         if not self.request.checkpoint_dir:
-            return df
-        path = f"{self.request.checkpoint_dir}/{name}-{self.request.key()}"
+            return written(df, name)
+        path = f"{self.request.checkpoint_dir}/{name}-{self.request.key(f'{self._state} {self.preset}')}"
         spark = df.sparkSession
         jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
@@ -169,8 +207,13 @@ class AnalysisResult:
         return spark.read.parquet(path)
 
 
-def analyze_frames(data: TraceFrames, request: Request, raw: DataFrame | None = None) -> AnalysisResult:
-    """The analysis of normalized frames, with the request's slices, epochs, profile buckets and preset."""
+def analyze_frames(data: TraceFrames, request: Request, raw: DataFrame | None = None, state: str | None = None) -> AnalysisResult:
+    """The analysis of normalized frames, with the request's slices, epochs, profile buckets and preset.
+
+    Checkpoints need `state`, which tells these frames from any others.
+    """
+    if request.checkpoint_dir and state is None:
+        raise ValueError("checkpoints of bare frames need a state that names their content")
     cats = categories(data.traces, _tracer(raw))
     preset = detect(cats, request.preset)
     if preset.discover:
@@ -187,7 +230,7 @@ def analyze_frames(data: TraceFrames, request: Request, raw: DataFrame | None =
         bucket = round(request.profile_time_granularity * S.TICKS)
         profiles = P.expanded(profiles, request.width, request.profile_distribution, bucket)
         profiles = profiles.withColumn("time_range", N.bucket(F.col("time_start"), data.origin, request.width))
-    return AnalysisResult(request, preset, TraceFrames(t, profiles, data.system, data.origin, data.width), raw)
+    return AnalysisResult(request, preset, TraceFrames(t, profiles, data.system, data.origin, data.width), raw, state)
 
 
 def _tracer(raw: DataFrame | None) -> set[str]:
@@ -197,8 +240,8 @@ def _tracer(raw: DataFrame | None) -> set[str]:
     return {r["c"] for r in raw.where("ph = 'M' and cat is not null").select(F.lower("cat").alias("c")).distinct().collect()}
 
 
-def analyze(spark: SparkSession, request: Request) -> AnalysisResult:
-    """Reads the request's trace files and analyzes them."""
-    raw = read_raw(spark, list_trace_files(request.trace_path, request.trace_groups), request.extra_columns)
-    data = frames(raw, request.width, round(request.profile_time_granularity * S.TICKS))
-    return analyze_frames(data, request, raw)
+def analyze(spark: SparkSession, request: Request, source: TraceSource | None = None) -> AnalysisResult:
+    """Analyzes what the source reads, by default the request's trace files."""
+    source = source or TraceFiles()
+    data, raw = source.read(spark, request)
+    return analyze_frames(data, request, raw, source.state(spark, request) if request.checkpoint_dir else None)

@@ -7,6 +7,7 @@ select (detail) or one aggregate (whole view), never by a loop over rows.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from pathlib import Path
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from iolens import schema as S
 from iolens.functions import expressions as E
 from iolens.functions.metrics import severity_label, slope_severity
+from iolens.rulepacks import PACKS
 
 # Names and versions that facts carry.
 FACT_VERSION = "analysisfact.v1"
@@ -67,7 +69,7 @@ def build_rule(d: dict, defaults: dict | None = None, strict: bool = True) -> Ru
 
 
 def load_rules(name: str, strict: bool = True) -> list[Rule]:
-    """Rules of a YAML or JSON file: a path, with or without suffix, or the name of a packaged file; highest priority first."""
+    """Rules of a YAML or JSON file (a path, with or without suffix, or a packaged file) or of a named pack; highest priority first."""
     own = Path(__file__).parent / "packs"
     for base in (Path(name), own / name):
         for path in (base, base.with_name(base.name + ".yaml"), base.with_name(base.name + ".yml"), base.with_name(base.name + ".json")):
@@ -81,6 +83,8 @@ def load_rules(name: str, strict: bool = True) -> list[Rule]:
                     data = yaml.safe_load(text)
                 rules = [build_rule(r, data.get("defaults"), strict) for r in data["rules"]]
                 return sorted(rules, key=lambda r: -r.priority)
+    if name in PACKS:
+        return sorted((build_rule(r, strict=strict) for r in PACKS[name]), key=lambda r: -r.priority)
     raise FileNotFoundError(name)
 
 
@@ -159,7 +163,7 @@ def rule_facts(view: DataFrame, view_key: list[str], rules: list[Rule], run_id:
     granularity: bucket width in µs.
     """
     view_type = view_key[-1]
-    extreme = lambda how, c: view.agg((F.max if how == "max" else F.min)(c).alias("x")).scalar()
+    extreme = lambda how, c: rows.agg((F.max if how == "max" else F.min)(c).alias("x")).scalar()
     out = []
     for rule in rules:
         if not rule.matches(view_type) or not set(rule.required_metrics) <= set(view.columns):
@@ -204,10 +208,20 @@ def summary(facts: DataFrame) -> DataFrame:
     )
 
 
-def envelope(facts: DataFrame | None, context: dict) -> dict:
-    """The envelope of facts for output; facts are collected, a view emits few."""
-    rows = [json.loads(r) for r in facts.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toPandas().iloc[:, 0]] if facts is not None else []
+def envelope_text(facts: DataFrame | None, context: dict) -> Iterator[str]:
+    """The envelope of facts as pieces of one JSON text; one partition of facts is held at a time.
+
+    The context gets window_type_counts, the facts per type of window.
+    """
     by_view: dict[str, int] = {}
-    for r in rows:
-        by_view[r["window"]["view_type"]] = by_view.get(r["window"]["view_type"], 0) + 1
-    return {"schema_version": ENVELOPE_VERSION, "context": context, "facts": rows, "fact_count_by_view": by_view}
+    yield f'{{"schema_version": {json.dumps(ENVELOPE_VERSION)}, "facts": ['
+    rows = facts.select(F.col("window.view_type").alias("v"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator() if facts is not None else ()
+    for i, r in enumerate(rows):
+        by_view[r["v"]] = by_view.get(r["v"], 0) + 1
+        yield f"{', ' * (i > 0)}{r['j']}"
+    yield f'], "context": {json.dumps(context | {"window_type_counts": by_view})}, "fact_count_by_view": {json.dumps(by_view)}}}'
+
+
+def envelope(facts: DataFrame | None, context: dict) -> dict:
+    """envelope_text as a dict, for few facts."""
+    return json.loads("".join(envelope_text(facts, context)))

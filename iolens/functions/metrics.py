@@ -7,11 +7,11 @@ is read more than once here; write it first where it is costly to make.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from iolens.functions.ranks import cumulative
 from iolens.presets import Preset
-from iolens.runtime import written
 
 
 def with_totals(view: DataFrame, cols: list[str]) -> DataFrame:
@@ -37,15 +37,8 @@ def with_percentile_ranks(view: DataFrame, by: str, outs: dict[str, str]) -> Dat
     """
     cells = view.select(by, F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.col(c).cast("double").alias("v")) for o, c in outs.items()])).alias("_p"))
     cells = cells.select(by, "_p.o", "_p.v").where("v is not null")
-    counts = cells.groupBy("o", "v").agg(F.count(F.lit(1)).alias("n"))
-    spread = written(counts.repartitionByRange("o", "v").sortWithinPartitions("o", "v").withColumn("part", F.spark_partition_id()), "ranks")
-    sums = spread.groupBy("o", "part").agg(F.sum("n").alias("s"))
-    w = Window.partitionBy("o")
-    before = F.coalesce(F.sum("s").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select("o", "part", before.alias("base"), F.sum("s").over(w).alias("whole"))
-    run = F.sum("n").over(Window.partitionBy("o", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = spread.withColumn("run", run).join(sums, ["o", "part"])
-    ranks = ranks.select("o", "v", ((F.col("base") + F.col("run") - (F.col("n") - 1) / 2) / F.col("whole")).alias("rank"))
+    cum = cumulative(cells, ["o"], "v")
+    ranks = cum.select("o", "v", ((F.col("upto") - (F.col("n") - 1) / 2) / F.col("whole")).alias("rank"))
     wide = cells.join(ranks, ["o", "v"]).groupBy(by).agg(*[F.max(F.when(F.col("o") == o, F.col("rank"))).alias(o) for o in outs])
     return view.join(wide, by, "left")
 

@@ -51,7 +51,7 @@ def floor_div(c: Column, width: int) -> Column:
     return F.call_function("div", c - F.pmod(c, F.lit(width)), F.lit(width))
 
 
-def bucket(ts: Column, origin: int, width: int) -> Column:
+def bucket(ts: Column, origin: int | Column, width: int) -> Column:
     return floor_div(ts - F.lit(origin), width).cast("bigint")
 
 
@@ -60,10 +60,15 @@ def aligned_origin(least: int | None, width: int) -> int:
     return (least or 0) // width * width
 
 
-def with_time_range(traces: DataFrame, width: int, origin: int | None = None) -> DataFrame:
+def least_bucket(rows: DataFrame, ts: str, width: int) -> Column:
+    """aligned_origin of a column as a scalar subquery, so that no job runs before the plan does."""
+    return F.coalesce(rows.agg((F.min(ts) - F.pmod(F.min(ts), F.lit(width))).alias("o")).scalar(), F.lit(0))
+
+
+def with_time_range(traces: DataFrame, width: int, origin: int | Column | None = None) -> DataFrame:
     """time_range: the bucket of time_start, counted from the first event's bucket."""
     if origin is None:
-        origin = aligned_origin(traces.agg(F.min("time_start")).first()[0], width)
+        origin = least_bucket(traces, "time_start", width)
     return traces.withColumn("time_range", bucket(F.col("time_start"), origin, width))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from iolens import schema as S
+from iolens.functions.ranks import percentiles
 from iolens.operators import normalize as N
 from iolens.presets import Layer, Preset
 
@@ -148,6 +149,18 @@ def unique_counts(traces: DataFrame, by: str, layers: tuple[Layer, ...], what: s
     return pairs.groupBy(by).agg(*[F.sum(F.when(known, F.col(x.name)).otherwise(0)).cast("bigint").alias(f"{x.name}_{what}_nunique") for x in layers])
 
 
+def unique_values(traces: DataFrame, by: str, what: str) -> DataFrame:
+    """by, <what>_set: the distinct values without nulls, in order; for keys whose sets are small (sets unite with united_sets)."""
+    pairs = traces.dropna(subset=[by]).select(by, what).distinct()
+    return pairs.groupBy(by).agg(F.array_sort(F.collect_list(what)).alias(f"{what}_set"))
+
+
+def united_sets(sets: DataFrame, by: str, column: str) -> DataFrame:
+    """Unions of set-valued columns per `by`; a null set counts as empty. Values are reduced to distinct ones before they meet."""
+    pairs = sets.select(by, F.explode_outer(column).alias("_v")).distinct()
+    return pairs.groupBy(by).agg(F.array_sort(F.collect_list("_v")).alias(column))
+
+
 def flat_view(detail: DataFrame, view_types: list[str], by: str, preset: Preset, derived: bool = True, stats: bool = True) -> DataFrame:
     """The wide view of all layers, in one aggregate per level."""
     which = metrics(preset, derived)
@@ -176,11 +189,11 @@ def logical_view(main: DataFrame, parent: str, name: str, which: list[Metric]) -
 def quantile_stats(df: DataFrame, by: str, value: str, low: int, high: int) -> DataFrame:
     """by, mean, std (population), n of the values between two percentiles (linear interpolation), without nulls and zeros.
 
-    Two aggregates and a join on `by`; no list of values is built beyond the
-    counts per distinct value that percentile keeps.
+    The percentiles come from range-sorted counts, so a group's values never
+    meet in one buffer.
     """
     rows = df.where(F.col(value) != 0)
-    bounds = rows.groupBy(by).agg(F.percentile(value, F.array(F.lit(low / 100), F.lit(high / 100))).alias("_b"))
+    bounds = percentiles(rows.select(by, value), by, value, [low / 100, high / 100]).withColumnRenamed("at", "_b")
     kept = rows.join(bounds, by).where(F.col(value).between(F.col("_b")[0], F.col("_b")[1]))
     return kept.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(F.lit(1)).alias("n"))
 
@@ -193,7 +206,7 @@ def quantile_pairs(df: DataFrame, by: str, value: str) -> DataFrame:
     """by, low, high, mean, std, n: quantile_stats of every pair, from one array of percentiles and one join."""
     rows = df.where(F.col(value) != 0)
     points = sorted({p for pair in QUANTILE_PAIRS for p in pair})
-    bounds = rows.groupBy(by).agg(F.percentile(value, F.array(*[F.lit(p / 100) for p in points])).alias("_b"))
+    bounds = percentiles(rows.select(by, value), by, value, [p / 100 for p in points]).withColumnRenamed("at", "_b")
     pair = lambda lo, hi: F.struct(F.lit(lo).alias("low"), F.lit(hi).alias("high"), F.col("_b")[points.index(lo)].alias("lo"), F.col("_b")[points.index(hi)].alias("hi"))
     bounds = bounds.select(by, F.array(*[pair(*p) for p in QUANTILE_PAIRS]).alias("_p"))
     kept = rows.select(by, value).join(bounds, by).select(by, value, F.explode("_p").alias("_p")).where(F.col(value).between(F.col("_p.lo"), F.col("_p.hi")))

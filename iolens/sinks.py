@@ -5,8 +5,12 @@ from __future__ import annotations
 import json
 import sqlite3
 import sys
+import warnings
 from pathlib import Path
 
+import pyarrow.fs as pafs
+from pyspark.errors import PySparkException
+
 from iolens import facts as K
 from iolens.api import AnalysisResult
 
@@ -19,6 +23,10 @@ def _stats(result: AnalysisResult) -> dict:
     return result.raw_stats().first().asDict()
 
 
+def _metrics(result: AnalysisResult, by: str) -> list[dict]:
+    return [r.asDict() for r in result.additional_metrics(by).orderBy("metric").collect()]  # a row per metric
+
+
 def to_console(result: AnalysisResult, out=sys.stdout) -> None:
     """Summary, layer breakdown and facts as text tables."""
     print("Summary", *[f"  {k}: {v}" for k, v in _stats(result).items()], sep="\n", file=out)
@@ -26,6 +34,8 @@ def to_console(result: AnalysisResult, out=sys.stdout) -> None:
         print(f"Layers by {by}", file=out)
         for r in _summary(result, by):
             print("  " + ", ".join(f"{k} {v:.6g}" if isinstance(v, float) else f"{k} {v}" for k, v in r.items() if v is not None), file=out)
+        for m in _metrics(result, by):
+            print(f"  metric {m['metric']} [{m['unit']}]: {m['n']}, " + (f"{m['min']:.3f} to {m['max']:.3f}, mean {m['mean']:.3f}" if m["n"] else "-"), file=out)
         if result.request.facts:
             found = result.get_analysis_facts(by)
             for r in K.summary(found).orderBy("fact_type").collect() if found is not None else ():
@@ -33,8 +43,9 @@ def to_console(result: AnalysisResult, out=sys.stdout) -> None:
 
 
 def to_json(result: AnalysisResult, path: str | None = None) -> str:
-    """Statistics and per-view summaries, without flat views; no NaN or infinity."""
-    data = {"schema_version": "1", "raw_stats": _stats(result), "views": {by: {"summary": _summary(result, by)} for by in result.view_types}}
+    """Statistics, per-view summaries and additional metrics, without flat views; no NaN or infinity."""
+    views = {by: {"summary": _summary(result, by), "additional_metrics": {m.pop("metric"): m for m in _metrics(result, by)}} for by in result.view_types}
+    data = {"schema_version": "1", "raw_stats": _stats(result), "views": views}
     text = json.dumps(data, allow_nan=False, sort_keys=True)
     if path:
         Path(path).write_text(text)
@@ -42,15 +53,30 @@ def to_json(result: AnalysisResult, path: str | None = None) -> str:
 
 
 def to_files(result: AnalysisResult, folder: str) -> None:
-    """detail_view_<key>.parquet, raw_stats.json, and one line per envelope in facts.jsonl, appended after the first call."""
-    root = Path(folder)
-    root.mkdir(parents=True, exist_ok=True)
-    (root / "raw_stats.json").write_text(json.dumps(_stats(result)))
+    """detail_view_<key>.parquet, raw_stats.json, and one line per envelope in facts.jsonl, appended after the first call.
+
+    The folder may lie on any file system both Spark and pyarrow know. A view
+    that fails gives a warning; the others are written.
+    """
+    fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else str(Path(folder).absolute()))
+    fs.create_dir(root)
+    with fs.open_output_stream(f"{root}/raw_stats.json") as f:
+        f.write(json.dumps(_stats(result)).encode())
     for by in result.view_types:
-        result.get_flat_view(by).write.mode("overwrite").parquet(str(root / f"detail_view_{by}.parquet"))
+        try:
+            result.get_flat_view(by).write.mode("overwrite").parquet(f"{folder}/detail_view_{by}.parquet")
+        except PySparkException as e:
+            warnings.warn(f"view {by} wasn't written: {e}", stacklevel=2)
     if result.request.facts:
-        with (root / "facts.jsonl").open("a" if getattr(result, "_emitted", False) else "w") as f:
-            f.write(json.dumps(result.to_fact_envelope()) + "\n")
+        before = b""
+        if getattr(result, "_emitted", False):
+            with fs.open_input_stream(f"{root}/facts.jsonl") as f:
+                before = f.read()
+        with fs.open_output_stream(f"{root}/facts.jsonl") as f:
+            f.write(before)
+            for piece in K.envelope_text(result.all_facts(), result.fact_context()):
+                f.write(piece.encode())
+            f.write(b"\n")
         result._emitted = True
 
 

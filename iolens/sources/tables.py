@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iolens import schema as S
@@ -22,12 +22,12 @@ def raw_events(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
     return records(table(spark, d, "trace_events").where("ts is not null"), "event_id", cols)
 
 
-def traces(spark: SparkSession, d: str, width: int = 3600 * S.TICKS, origin: int | None = None) -> DataFrame:
+def traces(spark: SparkSession, d: str, width: int = 3600 * S.TICKS, origin: int | Column | None = None) -> DataFrame:
     """trace_events in the schema of traces."""
     names = "event_id cat name pid tid epoch step file_hash host_hash file_name host_name dur size file_offset ts".split()
     x = raw_events(spark, d, names)
     if origin is None:
-        origin = N.aligned_origin(table(spark, d, "trace_events").agg(F.min("ts")).first()[0], width)
+        origin = N.least_bucket(table(spark, d, "trace_events"), "ts", width)
     io_cat = N.io_category(F.col("name"))
     moved = N.io_size(io_cat, F.col("size"))
     x = x.select("cat", F.col("name").alias("func_name"), "pid", "tid", "epoch", "step", "file_hash", "host_hash", "file_name", "host_name", io_cat.alias("io_cat"), moved.alias("size"), F.col("file_offset").alias("offset"), F.col("dur").alias("time"), F.col("ts").alias("time_start"))
@@ -44,7 +44,7 @@ def profiles(spark: SparkSession, d: str, bucket: int = P.BUCKET) -> DataFrame:
     return P.coalesced(P.standard(raw, bucket))
 
 
-def system(spark: SparkSession, d: str, width: int, origin: int = 0) -> DataFrame:
+def system(spark: SparkSession, d: str, width: int, origin: int | Column = 0) -> DataFrame:
     names = ["name", "host_hash", "ts", *Y.CPU.values(), *Y.MEMORY.values()]
     raw = records(table(spark, d, "system_samples"), "sample_id", {c: F.col(c) for c in names})
     return Y.system_metrics(raw, width, origin)

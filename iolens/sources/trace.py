@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from glob import glob
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from iolens import schema as S
+from iolens.functions.expressions import ExpressionError, compile_expression
 from iolens.operators import normalize as N
 from iolens.operators import profiles as P
 from iolens.operators import system as Y
@@ -32,22 +31,38 @@ class TraceFrames:
     width: int
 
 
-def list_trace_files(path: str, groups: list[str] | None = None) -> list[str]:
-    """*.pfw and *.pfw.gz directly in a directory, one file, or a glob; sorted.
+def _statuses(spark: SparkSession, path: str, pattern: bool = False) -> list:
+    """The files at a path or pattern of any file system Hadoop knows, not below it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(p) if pattern else fs.listStatus(p) if fs.exists(p) and fs.getFileStatus(p).isDirectory() else None
+    return [s for s in found or [] if s.isFile()]
 
-    groups: names of manifest.json's groups of files, to which a directory is restricted.
-    """
-    p = Path(path)
+
+def _named(status, like: str) -> str:
+    """A path as Spark reads it; local ones are named as they were asked for."""
+    name = status.getPath().toString()
+    return name.removeprefix("file:") if name.startswith("file:") and not like.startswith("file:") else name
+
+
+def trace_statuses(spark: SparkSession, path: str, groups: list[str] | None = None) -> dict[str, tuple[int, int]]:
+    """Size and time of change of each file list_trace_files names."""
     if groups:
-        listed = json.loads((p / "manifest.json").read_text())["groups"]
-        found = [str(p / f) for g in groups for f in listed[g]]
-    elif p.is_dir():
-        found = [str(f) for pattern in ("*.pfw", "*.pfw.gz") for f in p.glob(pattern)]
+        listed = json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0])["groups"]
+        found = [s for g in groups for f in listed[g] for s in _statuses(spark, f"{path}/{f}", True)]
     else:
-        found = glob(path)
+        found = [s for s in _statuses(spark, path) if s.getPath().getName().endswith((".pfw", ".pfw.gz"))] or _statuses(spark, path, True)
     if not found:
         raise FileNotFoundError(f"no trace files at {path}")
-    return sorted(set(found))
+    return {_named(s, path): (s.getLen(), s.getModificationTime()) for s in found}
+
+
+def list_trace_files(path: str, groups: list[str] | None = None, spark: SparkSession | None = None) -> list[str]:
+    """*.pfw and *.pfw.gz directly in a folder, one file, or a glob, on any file system Hadoop knows; sorted.
+
+    groups: names of manifest.json's groups of files, to which a folder is restricted.
+    """
+    return sorted(trace_statuses(spark or SparkSession.builder.getOrCreate(), path, groups))
 
 
 def parse_lines(lines: DataFrame, extra: str = "", column: str = "value") -> DataFrame:
@@ -124,7 +139,7 @@ def frames(raw: DataFrame, width: int, profile_bucket: int = P.BUCKET) -> TraceF
 
 def read_trace(spark: SparkSession, path: str, granularity: float = 1.0, groups: list[str] | None = None, extra_columns: str = "", spread: int | None = None, profile_bucket: int = P.BUCKET) -> TraceFrames:
     """Reads trace files; granularity in seconds, extra_columns as DDL of further args."""
-    return frames(read_raw(spark, list_trace_files(path, groups), extra_columns, spread), round(granularity * S.TICKS), profile_bucket)
+    return frames(read_raw(spark, list_trace_files(path, groups, spark), extra_columns, spread), round(granularity * S.TICKS), profile_bucket)
 
 
 class RawTraces:
@@ -134,8 +149,11 @@ class RawTraces:
         self.df = df
 
     def filter(self, predicate: str) -> RawTraces:
-        """A SQL predicate; == and double-quoted strings are taken too."""
-        return RawTraces(self.df.where(predicate.replace("==", "=").replace('"', "'")))
+        """A predicate as in user expressions (==, and, or, not, strings in either quotes), else one of SQL."""
+        try:
+            return RawTraces(self.df.where(compile_expression(predicate, set(self.df.columns))))
+        except ExpressionError:
+            return RawTraces(self.df.where(predicate))
 
     def unique(self, column: str) -> DataFrame:
         return self.df.select(column).where(F.col(column).isNotNull()).distinct()

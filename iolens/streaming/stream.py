@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from iolens.sources.trace import parse_lines
@@ -39,7 +40,11 @@ def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame
 
 
 def epoch_state(events: DataFrame, is_epoch: str) -> DataFrame:
-    """Stateful numbering of epoch marks per pid across micro-batches: pid, epoch, time_start."""
+    """Stateful numbering of epoch marks per pid across micro-batches: pid, epoch, time_start.
+
+    Numbers are given in order of arrival, and by time within a micro-batch; a
+    mark that arrives in a later batch than its successors gets a later number.
+    """
     marks = events.where("ph = 'X' and ts is not null").where(is_epoch).select("pid", "ts")
 
     def number(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,8 +63,25 @@ def for_each_window(events: DataFrame, emit: Callable[[DataFrame, int], None], c
     return events.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over everything there is and returns what it wrote to memory."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(df: DataFrame, keys: list[str], folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over everything there is; returns what it wrote: all rows (append), the last per key (update) or the last batch (complete).
+
+    Every micro-batch is written to a place of its own below `folder`, so the
+    result never lies in the driver; a batch that runs again replaces its own.
+    """
+    spark, schema = df.sparkSession, T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
+
+    def write(rows: DataFrame, no: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={no}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    there = root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)  # an empty source has no batch
+    got = spark.read.schema(schema).parquet(f"{folder}/rows") if there else spark.createDataFrame([], schema)
+    if mode == "append":
+        return got.drop("batch")
+    if mode == "complete":
+        return got.where(F.col("batch") == got.agg(F.max("batch")).scalar()).drop("batch")
+    last = F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "batch").alias("r")
+    return got.groupBy(*keys).agg(last).select(*keys, "r.*")

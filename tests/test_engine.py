@@ -347,6 +347,102 @@ def test_analysis_outputs_and_checkpoints(spark, tmp_path):
     assert rows(again.get_hlm(), "cat", "count") == rows(result.get_hlm(), "cat", "count")
 
 
+def test_checkpoints_notice_changed_files_and_refuse_bare_frames(spark, tmp_path):
+    def events(n):
+        return [record("X", "read", "POSIX", 1_000_000 + i * 1000, 10, ret=1) for i in range(n)]
+
+    (tmp_path / "t").mkdir()
+    request = api.Request(write(tmp_path / "t", events(5), "a.pfw"), derived=False, checkpoint_dir=str(tmp_path / "keep"))
+    count = lambda: api.analyze(spark, request).get_hlm().agg(F.sum("count")).first()[0]
+    assert [count(), count()] == [5, 5]
+    write(tmp_path / "t", events(9), "a.pfw")
+    assert count() == 9
+    write(tmp_path / "t", events(2), "b.pfw")
+    assert count() == 11
+    data = R.read_trace(spark, str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="bare frames"):
+        api.analyze_frames(data, request)
+
+
+def test_a_source_of_ones_own(spark, tmp_path):
+    class Mine:
+        def read(self, spark, request):
+            return read(spark, tmp_path, HYBRID, request.time_granularity), None
+
+        def state(self, spark, request):
+            return "v1"
+
+    result = api.analyze(spark, api.Request(time_granularity=5.0, derived=False, checkpoint_dir=str(tmp_path / "keep")), Mine())
+    assert result.raw_stats().first()["total_event_count"] == 4 and result.get_hlm().count() == 2
+
+
+def test_additional_metrics_and_transfer_sizes_in_outputs(spark, tmp_path):
+    import io
+
+    events = [record("X", "read", "POSIX", 1_000_000 + i * 1_500_000, 100_000, ret=2**20) for i in range(4)]
+    request = api.Request(write(tmp_path, events), derived=False, additional_metrics={"moved_mb": "posix_size_sum", "odd": "posix_size_sum / (posix_count_sum - posix_count_sum)"}, facts="rule", rule_file="posix", emit_mode="detail")
+    result = api.analyze(spark, request)
+    data = json.loads(sinks.to_json(result))["views"]["time_range"]
+    got = data["additional_metrics"]
+    assert got["moved_mb"]["unit"] == "MB" and got["moved_mb"]["n"] >= 3 and got["moved_mb"]["max"] >= 1 and got["odd"] == {"unit": "-", "n": 0, "min": None, "mean": None, "max": None}
+    layer = next(x for x in data["summary"] if x["layer"] == "posix")
+    assert layer["transfer_size"] == 2**20 and layer["u_size"] is None
+    sinks.to_console(result, out := io.StringIO())
+    assert "metric moved_mb [MB]" in out.getvalue() and "metric odd [-]: 0, -" in out.getvalue()
+    env = result.to_fact_envelope()
+    assert env["context"]["total_event_count"] == 4 and env["context"]["window_type_counts"] == env["fact_count_by_view"] and len(env["facts"]) == sum(env["fact_count_by_view"].values())
+    sinks.to_files(result, str(tmp_path / "out"))
+    sinks.to_files(result, str(tmp_path / "out"))
+    lines = (tmp_path / "out/facts.jsonl").read_text().splitlines()
+    assert len(lines) == 2 and json.loads(lines[1]) == env
+
+
+def test_filters_keep_quotes_inside_values(spark):
+    df = spark.createDataFrame([('a"b', 1), ("a'b", 2)], "cat string, ts bigint")
+    raw = R.RawTraces(df)
+    assert rows(raw.filter("cat == 'a\"b' and ts < 5").df) == [('a"b', 1)]
+    assert rows(raw.filter('cat == "a\'b"').df) == [("a'b", 2)]
+    assert raw.filter("cat LIKE 'a%' AND ts BETWEEN 1 AND 2").df.count() == 2
+
+
+def test_sets_and_their_unions(spark):
+    t = spark.createDataFrame([("k", "d1", "b"), ("k", "d1", "a"), ("k", "d1", None), ("k", "d2", "a"), ("l", "d2", None), (None, "d1", "z")], "g string, day string, v string")
+    per_day = V.unique_values(t.selectExpr("concat(g, day) as gd", "g", "v"), "gd", "v")
+    assert rows(per_day) == [("kd1", ["a", "b"]), ("kd2", ["a"]), ("ld2", [])]
+    assert rows(V.united_sets(per_day.selectExpr("left(gd, 1) as g", "v_set"), "g", "v_set")) == [("k", ["a", "b"]), ("l", [])]
+
+
+def test_percentiles_equal_interpolated_ones(spark):
+    from iolens.functions import ranks
+
+    df = spark.createDataFrame([("a", x) for x in [5, 1, 1, 9, 12, 12, 40]] + [("b", 3), ("c", None), (None, 7), (None, 8)], "g string, v bigint")
+    points = [0.0, 0.05, 0.5, 0.95, 1.0]
+    want = {r["g"]: r["p"] for r in df.where("v is not null").groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, points))).alias("p")).collect()}
+    assert {r["g"]: r["at"] for r in ranks.percentiles(df, "g", "v", points).collect()} == want
+    assert ranks.percentiles(df.where("false"), "g", "v", points).count() == 0
+
+
+def test_every_named_pack_compiles_over_its_view(spark):
+    from iolens.rulepacks import PACKS
+
+    assert {n: len(facts.load_rules(n)) for n in PACKS} == {"posix": 5, "dlio": 13, "dlio-all": 11, "dlio-app": 4, "dlio-global": 4, "dlio-posix-corona": 8, "dlio-posix-lustre3": 8, "stormer": 11}
+    values = {"fetch_data_time_proc_max": 8.0, "compute_time_proc_max": 2.0, "reader_open_time_proc_max": 0.0, "reader_posix_time_proc_max": 7.0, "comm_time_proc_max": 9.0, "data_loader_proc_name_nunique": 4.0}
+    values |= {f"{x}_{op}_time_proc_frac_parent": 0.95 for x in ("posix", "reader_posix") for op in ("read", "write", "metadata", "data")}
+    values |= {f"{x}_{op}_{m}": 100.0 * (1 + (op == "read")) for x in ("posix", "reader_posix") for op in ("read", "write") for m in ("size_proc_mean", "count_sum", "size_sum")}
+    values |= {"reader_posix_read_bw_proc_mean": 1e6, "reader_posix_read_bw_proc_max": 170e6, "reader_posix_metadata_time_proc_max": 6.0, "reader_posix_read_time_call_mean": 3.0, "reader_posix_read_time_call_min": 0.1}
+    found = {}
+    for view in ("epoch", "host_hash", "proc_name"):
+        rows_ = [("1", *values.values()), ("2", *[v * 3 if k == "fetch_data_time_proc_max" else v for k, v in values.items()])]
+        df = spark.createDataFrame(rows_, f"{view} string, " + ", ".join(f"{k} double" for k in values))
+        for name in PACKS:
+            got = facts.rule_facts(df, [view], facts.load_rules(name), "r", "detail", aggregates="column")
+            found.setdefault(name, set()).update(r["fact_type"] for r in (got.collect() if got is not None else ()))
+    assert found["posix"] == {"small_read_dominance", "small_write_dominance", "metadata_dominance", "operation_imbalance", "size_imbalance"}
+    assert {"fetch_pressure", "read_pressure", "read_contention", "bw_saturation", "fetch_rank_imbalance"} <= found["dlio"] and "compute_dominance" not in found["dlio"]
+    assert "comm_dominance" in found["stormer"] and "reader_bw_pressure" in found["dlio-posix-lustre3"] and {"reader_metadata_heavy", "reader_metadata_contention"} <= found["dlio-posix-corona"]
+    assert "fetch_pressure" in found["dlio-global"] and "fetch_rank_imbalance" in found["dlio-app"]
+
+
 def test_counts_do_not_depend_on_granularity(spark, tmp_path):
     path = write(tmp_path, [record("X", "read", "POSIX", 1000 + i * 700_000, 10, ret=1) for i in range(20)])
     got = [api.analyze(spark, api.Request(path, time_granularity=g, derived=False)).get_main_view().agg(F.sum("posix_count")).first()[0] for g in (1.0, 10.0, 5.0)]
@@ -368,14 +464,14 @@ def test_streams_equal_batch(spark, tmp_path):
     write(tmp_path / "in", events[:6], "a.pfw")
     write(tmp_path / "in", events[6:], "b.pfw")
     live = stream.read_stream(spark, str(tmp_path / "in"), per_trigger=1)
-    got = stream.run_available(stream.tumbling(live, 5), "tumbling", str(tmp_path / "c1"), "complete")
+    got = stream.run_available(stream.tumbling(live, 5), ["window_start", "cat"], str(tmp_path / "c1"), "update")
     assert rows(got) == [(0, "posix", 5, 25), (5_000_000, "posix", 5, 25), (10_000_000, "posix", 2, 10)]
-    epochs = stream.run_available(stream.epoch_state(stream.read_stream(spark, str(tmp_path / "in"), per_trigger=1), "name = 'read'"), "epochs", str(tmp_path / "c2"))
+    epochs = stream.run_available(stream.epoch_state(stream.read_stream(spark, str(tmp_path / "in"), per_trigger=1), "name = 'read'"), ["pid", "epoch"], str(tmp_path / "c2"))
     assert sorted(r["epoch"] for r in epochs.where("pid = 1").collect()) == [1, 2, 3, 4, 5, 6]
     seen = []
     stream.for_each_window(stream.read_stream(spark, str(tmp_path / "in")), lambda df, i: seen.append(df.count()), str(tmp_path / "c3")).awaitTermination()
     assert sum(seen) == 12
-    s = stream.run_available(stream.sessions(stream.read_stream(spark, str(tmp_path / "in")), "3 seconds"), "sessions", str(tmp_path / "c4"), "complete")
+    s = stream.run_available(stream.sessions(stream.read_stream(spark, str(tmp_path / "in")), "3 seconds"), ["start", "stop", "pid"], str(tmp_path / "c4"), "complete")
     assert rows(s, "pid", "count") == [(0, 6), (1, 6)]
 
 
