@@ -54,7 +54,8 @@ def _pieces(spans: DataFrame, keys: list[str], top: int) -> DataFrame:
         first = f"c{k} + if(a{k} > 0, 1, 0)"
         rows = rows.withColumns({f"x{k}": F.expr(f"if({first} < d{k}, {first}, null)"), f"y{k}": F.expr(f"if({first} < d{k}, d{k}, null)")})
         lo, hi = f"x{k}", f"y{k}"
-    rows = rows.select(*keys, F.explode(F.expr(f"filter(array({', '.join(out)}), p -> p is not null)")).alias("p")).select(*keys, "p.*")
+    every = f"if(c0 = d0, array({out[0]}), filter(array({', '.join(out)}), p -> p is not null))"  # most spans lie in one chunk
+    rows = rows.select(*keys, F.explode(F.expr(every)).alias("p")).select(*keys, "p.*")
     return rows.withColumn("salt", F.expr(f"if(tier > 0, cast(pmod(xxhash64(a, b), {SALTS}) as int), 0)"))
 
 

@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from iolens import schema as S
 
 
-def io_category(func: Column) -> Column:
-    """The category of a function name; OTHER for unknown and null names."""
-    pairs = [F.lit(x) for cat, names in S.IO_FUNCTIONS.items() for n in names for x in (n, cat)]
-    return F.coalesce(F.create_map(*pairs)[func], F.lit(S.OTHER)).cast("tinyint")
+def _quoted(names: list[str]) -> str:
+    return ", ".join("'" + n.replace("\\", "\\\\").replace("'", "\\'") + "'" for n in names)
+
+
+def io_category(func: str) -> Column:
+    """The category of a column of function names; OTHER for unknown and null names. One text: hash look-ups in generated code."""
+    cases = " ".join(f"when {func} in ({_quoted(names)}) then {cat}" for cat, names in S.IO_FUNCTIONS.items())
+    return F.expr(f"cast(case {cases} else {S.OTHER} end as tinyint)")
 
 
 def io_size(io_cat: Column, ret: Column) -> Column:
@@ -28,18 +32,17 @@ def proc_name(host: Column, host_hash: Column, pid: Column, tid: Column) -> Colu
     return F.concat_ws("#", F.lit("app"), F.coalesce(host, host_hash, F.lit("unknown")), pid.cast("string"), tid.cast("string"))
 
 
-def path_category(cat: Column, file_name: Column) -> Column:
+def path_category(cat: str, file_name: str) -> Column:
     """Adds what the path tells to the category of posix and stdio events."""
-    io = cat.rlike("posix|stdio") & file_name.isNotNull()
-    marks = [F.when(io & file_name.contains(part), mark).otherwise("") for part, mark in S.PATH_SUFFIXES]
-    return F.concat(cat, *marks)
+    marks = ", ".join(f"if(contains({file_name}, '{part}'), '{mark}', '')" for part, mark in S.PATH_SUFFIXES)
+    return F.expr(f"if((contains({cat}, 'posix') or contains({cat}, 'stdio')) and {file_name} is not null, concat({cat}, {marks}), {cat})")
 
 
-def wanted(file_name: Column, func: Column) -> Column:
+def wanted(file_name: str, func: str) -> Column:
     """False for events on ignored paths or of ignored functions; null paths and names pass."""
-    paths = "|".join(S.IGNORED_PATHS)
-    keep = F.coalesce(~file_name.rlike(paths), F.lit(True))
-    return keep & F.coalesce(~func.isin(S.IGNORED_FUNCTIONS) & ~func.rlike("|".join(S.IGNORED_FUNCTION_PATTERNS)), F.lit(True))
+    paths = " or ".join(f"contains({file_name}, '{p}')" for p in S.IGNORED_PATHS)
+    patterns = "|".join(S.IGNORED_FUNCTION_PATTERNS)
+    return F.expr(f"not coalesce({paths}, false) and not coalesce({func} in ({_quoted(S.IGNORED_FUNCTIONS)}) or {func} rlike '{patterns}', false)")
 
 
 def not_zero(c: Column) -> Column:

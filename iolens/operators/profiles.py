@@ -24,12 +24,12 @@ def standard(raw: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """
     have = set(raw.columns)
     col = lambda n, t="bigint": F.col(n).cast(t) if n in have else F.lit(None).cast(t)
-    io_cat = N.io_category(F.lower(F.trim(F.col("name"))))
+    io_cat = N.io_category("lower(trim(name))")
     moved = F.when(io_cat.isin(S.READ, S.WRITE), F.coalesce(col("ret_sum"), col("ret")))
     sized = lambda c: F.when(io_cat.isin(S.READ, S.WRITE), c)
     start = col("ts")
     out = {
-        "cat": N.path_category(F.lower(F.trim(F.col("cat"))), col("file_name", "string")),
+        "cat": N.path_category("lower(trim(cat))", "file_name" if "file_name" in have else "cast(null as string)"),
         "func_name": F.col("name"),
         "pid": col("pid"), "tid": col("tid"), "epoch": col("epoch"), "step": col("step"),
         "file_hash": col("file_hash", "string"), "host_hash": col("host_hash", "string"), "file_name": col("file_name", "string"), "host_name": col("host_name", "string"),

@@ -55,7 +55,7 @@ def hlm(traces: DataFrame, view_types: list[str]) -> DataFrame:
         sums[f"size_bin_{n}"] = f"count_if({inside})"
     for m in ("time", "size"):
         sums |= {f"{m}_sq": f"sum({_SQUARE.format(m)})", f"{m}_call_min": f"min({m})", f"{m}_call_max": f"max({m})"}
-    return traces.dropna(subset=keys).groupBy(*keys).agg(*[F.expr(f"nullif({e}, 0) as {n}") for n, e in sums.items()])
+    return traces.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(*[F.expr(f"nullif({e}, 0) as {n}") for n, e in sums.items()])
 
 
 def hlm_keys(view_types: list[str]) -> list[str]:

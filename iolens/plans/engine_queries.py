@@ -35,11 +35,13 @@ def r(c: Column | str, n: int = 6) -> Column:
 
 
 def rounded(df: DataFrame, n: int = 6) -> DataFrame:
-    return df.select(*[r(c, n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    by = float(10**n)
+    return df.selectExpr(*[f"rint(`{c}` * {by}D) / {by}D as `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes])
 
 
 def _hlm(spark: SparkSession, d: str, views: list[str] | None = None) -> DataFrame:
-    return V.hlm(T.traces(spark, d, HOUR), views or ["time_range"])
+    views = views or ["time_range"]
+    return V.hlm(T.traces(spark, d, HOUR, spare=tuple(c for c in T.SPARE if c in views)), views)
 
 
 def _view(spark: SparkSession, d: str, by: str, preset=POSIX, derived: bool = True, keep: bool = False) -> DataFrame:
@@ -65,7 +67,7 @@ def raw_page(spark, d):
 
 def io_category(spark, d):
     rows = T.raw_events(spark, d, ["event_id", "name"])
-    return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn("io_cat", N.io_category(F.col("name")).cast("int"))
+    return rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn("io_cat", N.io_category("name").cast("int"))
 
 
 def proc_names(spark, d):
@@ -88,7 +90,7 @@ def time_buckets(spark, d):
 
 def ignore_filter(spark, d):
     rows = T.raw_events(spark, d, ["event_id", "name", "file_name"])
-    keep = N.wanted(F.col("file_name"), F.col("name"))
+    keep = N.wanted("file_name", "name")
     return rows.groupBy("name").agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("dropped"))
 
 
@@ -194,7 +196,7 @@ def derived_metrics(spark, d):
 def _stats(df: DataFrame, by: str, prefixes: list[str], bases=("time", "count")) -> DataFrame:
     """Times, counts and sizes of some prefixes (metadata moves no bytes)."""
     cols = [c for p in prefixes for b in bases if (p, b) != ("posix_metadata", "size") for c in [f"{p}_{b}_sum", *[f"{p}_{b}_proc_{s}" for s in ("min", "max", "mean", "std")]]]
-    return rounded(df.select(by, *[F.col(c).cast("double").alias(c) for c in cols]))
+    return rounded(df.selectExpr(by, *[f"cast({c} as double) as {c}" for c in cols]))
 
 
 VIEW_PREFIXES = ["posix", "posix_read", "posix_metadata"]

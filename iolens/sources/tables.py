@@ -22,15 +22,18 @@ def raw_events(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
     return records(table(spark, d, "trace_events").where("ts is not null"), "event_id", cols)
 
 
-def traces(spark: SparkSession, d: str, width: int = 3600 * S.TICKS, origin: int | Column | None = None) -> DataFrame:
-    """trace_events in the schema of traces."""
-    names = "event_id cat name pid tid epoch step file_hash host_hash file_name host_name dur size file_offset ts".split()
-    x = raw_events(spark, d, names)
+#: Columns of trace_events besides those that every view needs, by their name in traces.
+SPARE = {"epoch": "epoch", "step": "step", "file_hash": "file_hash", "offset": "file_offset"}
+
+
+def traces(spark: SparkSession, d: str, width: int = 3600 * S.TICKS, origin: int | Column | None = None, spare: tuple[str, ...] = tuple(SPARE)) -> DataFrame:
+    """trace_events in the schema of traces; columns of SPARE that aren't named are null, and neither read nor compared."""
+    names = "event_id cat name pid tid host_hash file_name host_name dur size ts".split()
+    x = raw_events(spark, d, [*names, *(SPARE[c] for c in spare)])
     if origin is None:
         origin = N.least_bucket(table(spark, d, "trace_events"), "ts", width)
-    io_cat = N.io_category(F.col("name"))
-    moved = N.io_size(io_cat, F.col("size"))
-    x = x.select("cat", F.col("name").alias("func_name"), "pid", "tid", "epoch", "step", "file_hash", "host_hash", "file_name", "host_name", io_cat.alias("io_cat"), moved.alias("size"), F.col("file_offset").alias("offset"), F.col("dur").alias("time"), F.col("ts").alias("time_start"))
+    x = x.withColumnsRenamed({"name": "func_name", "dur": "time", "ts": "time_start", "file_offset": "offset"})
+    x = x.withColumn("io_cat", N.io_category("func_name")).withColumns({"size": N.io_size(F.col("io_cat"), F.col("size"))} | {c: F.lit(None).cast(S.TRACE_COLUMNS[c]) for c in SPARE if c not in spare})
     return finished(x, width, origin)
 
 

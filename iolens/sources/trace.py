@@ -94,26 +94,16 @@ def traces_of(raw: DataFrame, width: int, origin: int) -> DataFrame:
         F.col(a + "fhash").alias("file_hash"), F.col(a + "hhash").alias("host_hash"), F.col("dur").alias("time"), F.col(a + "ret").alias("_ret"), F.col(a + "offset").alias("offset"), F.col("ts").alias("time_start"),
     )
     x = N.attach_names(x, names["files"], names["hosts"])
-    x = x.withColumns({"io_cat": N.io_category(F.col("func_name"))})
+    x = x.withColumns({"io_cat": N.io_category("func_name")})
     return finished(x.withColumn("size", N.io_size(F.col("io_cat"), F.col("_ret"))), width, origin)
 
 
 def finished(x: DataFrame, width: int, origin: int) -> DataFrame:
-    """Derived columns and filters that every source of traces shares; zero sizes and offsets become null."""
-    x = x.where(N.wanted(F.col("file_name"), F.col("func_name")))
-    x = x.withColumns(
-        {
-            "proc_name": N.proc_name(F.col("host_name"), F.col("host_hash"), F.col("pid"), F.col("tid")),
-            "cat": N.path_category(F.col("cat"), F.col("file_name")),
-            "acc_pat": F.lit(0).cast("tinyint"),
-            "count": F.lit(1).cast("bigint"),
-            "size": N.not_zero(F.col("size")),
-            "offset": N.not_zero(F.col("offset")),
-            "time_end": F.col("time_start") + F.coalesce("time", F.lit(0)),
-            "time_range": N.bucket(F.col("time_start"), origin, width),
-        }
-    )
-    return x.select(*[F.col(c).cast(t).alias(c) for c, t in S.TRACE_COLUMNS.items()])
+    """Derived columns and filters that every source of traces shares; zero sizes and offsets become null. time_start isn't null."""
+    x = x.where(N.wanted("file_name", "func_name"))
+    x = x.withColumns({"_host": F.expr("coalesce(host_name, host_hash, 'unknown')"), "cat": N.path_category("cat", "file_name"), "time_range": F.coalesce(N.bucket(F.col("time_start"), origin, width), F.lit(0))})
+    made = {"proc_name": "concat_ws('#', 'app', _host, cast(pid as string), cast(tid as string))", "acc_pat": "0", "count": "1", "size": "nullif(size, 0)", "offset": "nullif(offset, 0)", "time_end": "time_start + coalesce(time, 0)"}
+    return x.selectExpr(*[f"cast({made.get(c, f'`{c}`')} as {t}) as `{c}`" for c, t in S.TRACE_COLUMNS.items()])
 
 
 def frames(raw: DataFrame, width: int, profile_bucket: int = P.BUCKET) -> TraceFrames:
