@@ -165,17 +165,20 @@ def rule_facts(view: DataFrame, view_key: list[str], rules: list[Rule], run_id:
     view_type = view_key[-1]
     extreme = lambda how, c: rows.agg((F.max if how == "max" else F.min)(c).alias("x")).scalar()
     out = []
+    have = set(view.columns)
     for rule in rules:
-        if not rule.matches(view_type) or not set(rule.required_metrics) <= set(view.columns):
+        if not rule.matches(view_type) or not set(rule.required_metrics) <= have:
             continue
-        rows = view
+        texts = [rule.when, rule.severity_score, *([rule.confidence] if isinstance(rule.confidence, str) else [])]
+        used = {n for t in [*texts, *rule.derived_metrics.values()] for n in E.identifiers(t)} | set(rule.required_metrics) | {"epoch", "step"}
+        names = {view_type, *(used & have)}
+        rows = view.select(*sorted(names))  # a wide view costs each rule its whole schema
         try:
             for name, text in rule.derived_metrics.items():
-                rows = rows.withColumn(name, E.compile_expression(text, set(rows.columns), aggregates, extreme))
+                rows = rows.withColumn(name, E.compile_expression(text, names, aggregates, extreme))
+                names.add(name)
         except E.ExpressionError:
             continue
-        names = set(rows.columns)
-        texts = [rule.when, rule.severity_score, *([rule.confidence] if isinstance(rule.confidence, str) else [])]
         if any(set(E.identifiers(t)) - names for t in texts):
             continue
         clip = lambda t, n=names: E.compile_expression(f"clip01({t})", n, aggregates, extreme)

@@ -6,6 +6,7 @@ Times are whole µs where a query compares sums; doubles are rounded in both.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ from iolens.operators import profiles as P
 from iolens.operators import system as Y
 from iolens.operators import views as V
 from iolens.plans.engine_sql import SQL  # noqa: F401
-from iolens.presets import AI, POSIX, categories, discovered
+from iolens.presets import AI, DLIO, POSIX, categories, detect, discovered
+from iolens.rulepacks import PACKS
 from iolens.runtime import fresh_dir, records, table, written
 from iolens.sources import tables as T
 from iolens.sources.trace import parse_lines
@@ -404,9 +406,55 @@ def facts_summary(spark, d):
     return s.select("fact_type", "view_type", "n", r("peak").alias("peak"), "label", F.array_join("tags", ",").alias("tags"))
 
 
+#: The layers that the named packs look at.
+PACKED = replace(AI.only("epoch", "compute", "fetch_data", "comm", "reader", "posix", "reader_posix"), boundary="epoch")
+
+
+def pack_facts(spark, d):
+    """Facts of every named pack over the view by epoch; rules whose metrics that view lacks give none."""
+    v = metrics.across_layers(_view(spark, d, "epoch", PACKED, True, True), PACKED, "epoch", True)
+    v = written(v, "packed")  # read by every rule
+    out = []
+    for name in PACKS:
+        f = K.rule_facts(v, ["epoch"], K.load_rules(name), "run")
+        if f is not None:
+            out.append(f.select(F.lit(name).alias("pack"), "provenance.rule_id", "fact_type", "window.epoch", r("severity.score").alias("score"), "severity.label"))
+    return reduce(DataFrame.unionByName, out)
+
+
 # ---- presets and streams ----
 
 
+def _by_layer(spark, d, by):
+    """All 14 layers of the ai preset."""
+    v = _view(spark, d, by, AI, False)
+    return rounded(v.selectExpr(by, *[f"cast({x}_{c} as double) as {x}_{c}" for x in AI.names for c in ("time_sum", "time_proc_max", "time_proc_mean", "count_sum")]))
+
+
+def view_ai_time_range(spark, d):
+    return _by_layer(spark, d, "time_range")
+
+
+def view_ai_proc_name(spark, d):
+    return _by_layer(spark, d, "proc_name")
+
+
+def layer_filter_dlio(spark, d):
+    return T.traces(spark, d, HOUR).agg(*[F.count_if(F.expr(x.where)).alias(x.name) for x in DLIO.layers])
+
+
+def preset_detected(spark, d):
+    return spark.createDataFrame([(detect(categories(T.traces(spark, d, HOUR))).name,)], "preset string")
+
+
+def logical_proc_id(spark, d):
+    return _logical(spark, d, "proc_name", "proc_id")
+
+
+def logical_thread_id(spark, d):
+    return _logical(spark, d, "proc_name", "thread_id")
+
+
 def _layer_counts(spark: SparkSession, d: str, root: bool) -> DataFrame:
     t = T.traces(spark, d, HOUR)
     forest = discovered(categories(t))
@@ -438,6 +486,6 @@ _ALL = [
     view_proc_name, view_file_name, view_posix_prefixes, view_ratios, logical_file_dir, logical_file_pattern, logical_host, nunique, quantile_stats, quantile_pairs, interval_union, coalesce_profiles,
     expand_profiles_uniform, expand_profiles_weighted, system_metrics, slice_durations, raw_stats, layer_summary, call_stats, frac_total, ops_slope_percentile,
     boundary_parent_frac, derived_frac, overhead, unoverlapped, slope_severity, additional_metrics, topk_entities, rule_facts_detail, rule_facts_aggregate, metric_facts, fact_ids, facts_summary,
-    auto_layers, auto_layers_root, stream_tumbling,
+    auto_layers, auto_layers_root, stream_tumbling, pack_facts, view_ai_time_range, view_ai_proc_name, layer_filter_dlio, preset_detected, logical_proc_id, logical_thread_id,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

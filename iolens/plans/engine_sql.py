@@ -6,7 +6,8 @@ import re
 
 from iolens import schema as S
 from iolens.operators.views import Metric, metrics
-from iolens.presets import AI, POSIX, Preset
+from iolens.presets import AI, DLIO, POSIX, Preset
+from iolens.rulepacks import PACKS
 
 HOUR = 3600 * S.TICKS
 _CORE = ("epoch", "compute", "fetch_data", "checkpoint", "data_loader", "reader", "posix", "reader_posix")
@@ -46,9 +47,9 @@ def even(sql: str) -> str:
 def traces(origin: str = ORIGIN) -> str:
     """CTEs raw0 (records), raw1 (with io_cat) and t (normalized traces)."""
     return f"""raw0 AS (SELECT DISTINCT event_id, lower(trim(cat)) AS cat, lower(trim(name)) AS func_name, pid, tid, file_hash, host_hash, file_name, host_name,
-      CASE WHEN dur >= 0 THEN dur END AS time, size AS ret, ts AS time_start FROM trace_events WHERE ts IS NOT NULL),
+      epoch, CASE WHEN dur >= 0 THEN dur END AS time, size AS ret, ts AS time_start FROM trace_events WHERE ts IS NOT NULL),
     raw1 AS (SELECT *, {_IO_CAT} AS io_cat FROM raw0 WHERE {_KEEP}),
-    t AS (SELECT event_id, cat || {_MARKS} AS cat, func_name, pid, tid, host_hash, file_name, io_cat, time, time_start,
+    t AS (SELECT event_id, cat || {_MARKS} AS cat, func_name, pid, tid, epoch, host_hash, file_name, io_cat, time, time_start,
       CASE WHEN io_cat IN (1, 2) AND ret > 0 THEN ret END AS size, {_PROC} AS proc_name, time_start + coalesce(time, 0) AS time_end,
       (time_start - {origin}) // {HOUR} AS time_range, 1 AS count FROM raw1)"""
 
@@ -244,6 +245,65 @@ _T0, _T1 = f"(spot * {HOUR * 1000})", f"((spot + 1) * {HOUR * 1000})"
 _EPOCHS = f"""ep AS (SELECT pid, time_start AS start, time_end AS stop, row_number() OVER (PARTITION BY pid ORDER BY time_start, time_end) AS no
       FROM (SELECT DISTINCT pid, time_start, time_end FROM t WHERE {duck(AI.layer("epoch").where)}))"""
 
+def rule_sql(text: str) -> str:
+    """A rule's expression in SQL: division by 0 and null give null; max and min of one argument are that argument."""
+    import ast
+
+    ops = {ast.Add: "+", ast.Sub: "-", ast.Mult: "*", ast.Lt: "<", ast.LtE: "<=", ast.Gt: ">", ast.GtE: ">=", ast.Eq: "="}
+
+    def sql(n: ast.expr) -> str:
+        match n:
+            case ast.Constant():
+                return f"CAST({n.value!r} AS DOUBLE)"
+            case ast.Name():
+                return n.id
+            case ast.BinOp(op=ast.Div()):
+                return f"(CAST({sql(n.left)} AS DOUBLE) / nullif({sql(n.right)}, 0))"
+            case ast.BinOp():
+                return f"({sql(n.left)} {ops[type(n.op)]} {sql(n.right)})"
+            case ast.BoolOp():
+                return "(" + (" AND " if isinstance(n.op, ast.And) else " OR ").join(map(sql, n.values)) + ")"
+            case ast.Compare():
+                return f"({sql(n.left)} {ops[type(n.ops[0])]} {sql(n.comparators[0])})"
+        args = [sql(a) for a in n.args]
+        match n.func.id:
+            case "max" | "min" if len(args) > 1:
+                return f"{'greatest' if n.func.id == 'max' else 'least'}({', '.join(args)})"
+            case "fillna0":
+                return f"coalesce({args[0]}, 0)"
+            case "abs":
+                return f"abs({args[0]})"
+            case "clip01":
+                return f"CASE WHEN {args[0]} IS NOT NULL THEN least(greatest({args[0]}, 0), 1) END"
+        return args[0]
+
+    return sql(ast.parse(text, mode="eval").body)
+
+
+def _packs(preset: Preset) -> str:
+    """The facts of every rule whose metrics the view by epoch has."""
+    which = metrics(preset)
+    have = {f"{m.col(b)}_{s}" for m in which for b in ["time", "count", "ops", *["size", "bw", "intensity"] * m.sized] for s in ("sum", "proc_min", "proc_max", "proc_mean", "proc_std")}
+    shares = {f"{x.name}_{m}_time_proc_frac_parent": f"{x.name}_{m}_time_proc_max / nullif({x.name}_time_proc_max, 0)" for x in preset.layers for m in x.derived}
+    rows = []
+    for name, rules in PACKS.items():
+        for q in rules:
+            if q["view_types"] != ["epoch"] or not set(q["required_metrics"]) <= have | set(shares):
+                continue
+            source = "v2"
+            for c, text in q["derived_metrics"].items():
+                source = f"(SELECT *, {rule_sql(text)} AS {c} FROM {source})"
+            score = f"round(coalesce({rule_sql('clip01(' + q['severity_score'] + ')')}, 0), 6)"
+            rows.append(f"SELECT '{name}' AS pack, '{q['id']}' AS rule_id, '{q['fact_type']}' AS fact_type, epoch, {score} AS score FROM {source} WHERE {rule_sql(q['when'])}")
+    return f"{upto_view('epoch', preset)}, v2 AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in shares.items())} FROM v), f AS ({' UNION ALL '.join(rows)}) SELECT *, {_LABEL.format('score')} AS label FROM f"
+
+
+def _layers(by: str, preset: Preset) -> str:
+    cols = [f"round(CAST({x}_{c} AS DOUBLE), 6) AS {x}_{c}" for x in preset.names for c in ("time_sum", "time_proc_max", "time_proc_mean", "count_sum")]
+    return f"{upto_view(by, preset, False)} SELECT {by}, {', '.join(cols)} FROM v"
+
+
+_HAS = lambda cats: f"bool_or(cat IN ({_list(cats)}))"
 _LINES = """l AS (SELECT rtrim(trim(replace(unnest(string_split(payload, chr(10))), chr(13), ' ')), ', ') AS j FROM trace_files),
       j AS (SELECT j FROM l WHERE j LIKE '{%}' AND json_valid(j))"""
 
@@ -331,6 +391,14 @@ SQL = {
       SELECT {_fact_id("'None'", "'None'", "time_range")} AS fact_id, fact_type, CAST(NULL AS VARCHAR) AS entity, spot AS time_bucket, CAST(NULL AS BIGINT) AS t0_ns, CAST(NULL AS BIGINT) AS t1_ns, round(sev, 6) AS score, {_LABEL.format("sev")} AS label, CAST(1.0 AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS tag FROM x WHERE sev >= 0.3""",
     "fact_ids": f"{_facts('time_range')} SELECT DISTINCT {_fact_id(_T0, _T1, 'time_range')} AS fact_id FROM f",
     "facts_summary": f"{_facts('time_range')} SELECT fact_type, 'time_range' AS view_type, count(*) AS n, round(max(sev), 6) AS peak, {_LABEL.format('max(sev)')} AS label, min(tag) AS tags FROM f GROUP BY fact_type",
+    "pack_facts": _packs(AI.only("epoch", "compute", "fetch_data", "comm", "reader", "posix", "reader_posix")),
+    "view_ai_time_range": _layers("time_range", AI),
+    "view_ai_proc_name": _layers("proc_name", AI),
+    "layer_filter_dlio": f"WITH {traces()} SELECT {', '.join(f'count(CASE WHEN {duck(x.where)} THEN 1 END) AS {x.name}' for x in DLIO.layers)} FROM t",
+    "preset_detected": f"""WITH {traces()} SELECT CASE WHEN {_HAS(["ai_root", "pipeline"])} THEN 'ai' WHEN {_HAS(["reader", "data_loader", "checkpoint", "ai_framework", "dlio_benchmark"])} THEN 'dlio'
+      WHEN {_HAS(["posix", "stdio"])} THEN 'posix' ELSE 'auto' END AS preset FROM t""",
+    "logical_proc_id": _logical("proc_name", "proc_id", "string_split(proc_name, '#')[3]"),
+    "logical_thread_id": _logical("proc_name", "thread_id", "string_split(proc_name, '#')[4]"),
     "auto_layers": f"WITH {traces()} SELECT trim(regexp_replace(cat, '[^0-9a-z]+', '_', 'g'), '_') AS layer, count(*) AS n FROM t WHERE cat IS NOT NULL AND cat != '' GROUP BY ALL",
     "auto_layers_root": f"""WITH {traces()} SELECT trim(regexp_replace(cat, '[^0-9a-z]+', '_', 'g'), '_') AS layer, count(*) AS n FROM t WHERE cat IS NOT NULL AND cat != '' GROUP BY ALL
       UNION ALL SELECT 'app', count(*) FROM t""",
