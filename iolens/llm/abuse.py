@@ -14,13 +14,11 @@ from __future__ import annotations
 import hashlib
 import pickle
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -406,17 +404,12 @@ def rated(docs: DataFrame, labels: DataFrame, most: int = MAX_RATED, words: int
 
 def fitted(spark: SparkSession, sample: Sample, anew: bool = False) -> Classifier:
     """The classifier of this very sample, kept in the shared folder; fitted where there is none yet, or anew."""
-    folder = shared_dir(spark)
-    fs, root = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
-    path = f"{root}/iolens-abuse-{sample.key()}"
-    if not anew and fs.get_file_info(path).type != pafs.FileType.NotFound:
-        with fs.open_input_stream(path) as f:
-            return pickle.loads(f.read())
+    path = f"{shared_dir(spark)}/iolens-abuse-{sample.key()}"
+    whole = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not anew and whole.getFileSystem(spark._jsc.hadoopConfiguration()).exists(whole):
+        return pickle.loads(spark.read.parquet(path).first()["model"])
     made = fit(sample, spark)
-    fs.create_dir(root)
-    with fs.open_output_stream(own := f"{path}.{uuid.uuid4().hex}") as f:
-        f.write(pickle.dumps(made))
-    fs.move(own, path)
+    spark.createDataFrame([(bytearray(pickle.dumps(made)),)], "model binary").coalesce(1).write.mode("overwrite").parquet(path)
     return made
 
 
