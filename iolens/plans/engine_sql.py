@@ -49,7 +49,7 @@ def traces(origin: str = ORIGIN) -> str:
     return f"""raw0 AS (SELECT DISTINCT event_id, lower(trim(cat)) AS cat, lower(trim(name)) AS func_name, pid, tid, file_hash, host_hash, file_name, host_name,
       epoch, CASE WHEN dur >= 0 THEN dur END AS time, size AS ret, ts AS time_start FROM trace_events WHERE ts IS NOT NULL),
     raw1 AS (SELECT *, {_IO_CAT} AS io_cat FROM raw0 WHERE {_KEEP}),
-    t AS (SELECT event_id, cat || {_MARKS} AS cat, func_name, pid, tid, epoch, host_hash, file_name, io_cat, time, time_start,
+    t AS (SELECT event_id, cat || {_MARKS} AS cat, func_name, pid, tid, epoch, file_hash, host_hash, file_name, io_cat, time, time_start,
       CASE WHEN io_cat IN (1, 2) AND ret > 0 THEN ret END AS size, {_PROC} AS proc_name, time_start + coalesce(time, 0) AS time_end,
       (time_start - {origin}) // {HOUR} AS time_range, 1 AS count FROM raw1)"""
 
@@ -360,7 +360,7 @@ SQL = {
     "system_metrics": f"WITH {system()} SELECT host_hash, time_range, {', '.join(f'round({c}, 4) AS {c}' for c in _SYS)} FROM y",
     "slice_durations": f"""WITH {traces()}, n AS (SELECT *, greatest(CAST(ceil(coalesce(time, 0) / 1000.0) AS BIGINT), 1) AS pieces FROM t), k AS (SELECT *, unnest(range(pieces)) AS k FROM n)
       SELECT cat, count(*) AS n, CAST(sum(CASE WHEN time IS NULL THEN 1000 ELSE least(time - k * 1000, 1000) END) AS BIGINT) AS time, round(sum(1.0 / pieces), 3) AS count, max(time_start + k * 1000) AS last_ts FROM k GROUP BY 1""",
-    "raw_stats": f"""WITH {traces()}, {PROFILES} SELECT round((max(time_end) - min(time_start)) / 1000000.0, 6) AS job_time, count(*) AS trace_event_count, count(DISTINCT file_name) AS unique_file_count,
+    "raw_stats": f"""WITH {traces()}, {PROFILES} SELECT round((max(time_end) - min(time_start)) / 1000000.0, 6) AS job_time, count(*) AS trace_event_count, count(DISTINCT coalesce(file_hash, file_name)) AS unique_file_count,
       count(DISTINCT host_hash) AS unique_host_count, count(DISTINCT pid) AS unique_process_count, CAST((SELECT coalesce(sum(count), 0) FROM p) AS BIGINT) AS profile_event_count,
       CAST(count(*) + (SELECT coalesce(sum(count), 0) FROM p) AS BIGINT) AS total_event_count FROM t""",
     "layer_summary": _unoverlapped(" UNION ALL ".join(map(_layer_row, _CORE))),

@@ -38,6 +38,7 @@ IGNORED_FUNCTION_PATTERNS = [
 # What a path adds to the category of a posix or stdio event.
 PATH_SUFFIXES = [("/data", "_reader"), ("/checkpoint", "_checkpoint"), ("/lustre", "_lustre"), ("/ssd", "_ssd")]
 
+# Names of views, and of columns and args of the trace format.
 VIEW_TYPES = ["file_name", "proc_name", "time_range"]
 TEMPORAL_VIEWS = ["window", "epoch", "step", "time_range"]
 

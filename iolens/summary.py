@@ -10,10 +10,13 @@ from iolens.presets import Preset
 
 
 def raw_stats(traces: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
-    """One row: job_time in seconds, event counts, distinct files, hosts and processes (pids)."""
+    """One row: job_time in seconds, event counts, distinct files, hosts and processes (pids).
+
+    A file counts by its hash, so that files without a dictionary row count too, else by its name.
+    """
     t = traces.agg(
         ((F.max("time_end") - F.min("time_start")) / S.TICKS).alias("job_time"), F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("trace_event_count"),
-        F.count_distinct("file_name").alias("unique_file_count"), F.count_distinct("host_hash").alias("unique_host_count"), F.count_distinct("pid").alias("unique_process_count"),
+        F.count_distinct(F.coalesce("file_hash", "file_name")).alias("unique_file_count"), F.count_distinct("host_hash").alias("unique_host_count"), F.count_distinct("pid").alias("unique_process_count"),
     )
     n = profiles.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("n")).scalar() if profiles is not None else F.lit(0).cast("bigint")
     return t.withColumn("profile_event_count", n).withColumn("total_event_count", F.col("trace_event_count") + F.col("profile_event_count"))
