@@ -128,9 +128,16 @@ def severity_label(score: Column) -> Column:
     return F.when(score >= 0.85, "critical").when(score >= 0.60, "high").when(score >= 0.30, "medium").when(score > 0, "low").otherwise("none")
 
 
-def metric_score(name: str, c: Column) -> Column:
-    """A score in [0, 1] by what the name tells: shares as they are, utilisations inverted, slopes by angle."""
-    clip = lambda v: F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
+def metric_score(name: str, c: Column, boundary: float | None = None) -> Column:
+    """A score in [0, 1] by what the name tells: shares as they are, utilisations inverted, slopes by angle.
+
+    With a boundary, the share of it; mean bandwidths are inverted.
+    """
+    clip = lambda v: F.when(v.isNotNull() & ~F.isnan(v), F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
+    c = c.cast("double")
+    if boundary is not None:
+        share = F.try_divide(c, F.lit(float(boundary)))
+        return clip(1 - share if "bw_mean" in name else share)
     if name.endswith(("_pct", "_per")):
         return clip(c)
     if name.endswith("_util"):
@@ -138,6 +145,13 @@ def metric_score(name: str, c: Column) -> Column:
     return slope_severity(c) if name.endswith("_slope") else clip(c)
 
 
+def with_scores(view: DataFrame, boundaries: dict[str, float] | None = None) -> DataFrame:
+    """Adds <metric>_score for every column whose name or boundary tells how to score it."""
+    named = {c: None for c in view.columns if c.endswith(("_pct", "_per", "_util", "_slope")) and not c.startswith("d_")}
+    wanted = named | {c: b for c, b in (boundaries or {}).items() if c in view.columns}
+    return view.withColumns({f"{c}_score": metric_score(c, F.col(c), b) for c, b in wanted.items()}) if wanted else view
+
+
 def busy_time(spans: DataFrame, by: list[str]) -> DataFrame:
     """by, busy: the length of the union of [time_start, time_end) per group, from merged periods."""
     from iolens.operators import intervals

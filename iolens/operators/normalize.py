@@ -103,6 +103,19 @@ def name_part(proc: Column, i: int) -> Column:
     return F.get(F.split(proc, "#"), F.lit(i))
 
 
+def process_parts(proc: Column) -> dict[str, Column]:
+    """app_name, host_name, proc_id, rank and thread_id of process names: app#host#process#thread, else name#host#rank."""
+    own = name_part(proc, 0) == "app"
+    parts = {"app_name": name_part(proc, 0), "host_name": name_part(proc, 1), "proc_id": F.when(own, name_part(proc, 2)), "rank": F.when(~own, name_part(proc, 2))}
+    return parts | {"thread_id": F.when(own, name_part(proc, 3))}
+
+
+def stable_id(*parts: Column) -> Column:
+    """A bigint of 60 bits that depends on the parts' text alone; the same on every machine."""
+    text = F.concat_ws("_", *[F.coalesce(p.cast("string"), F.lit("None")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def attach_names(events: DataFrame, files: DataFrame | None, hosts: DataFrame | None) -> DataFrame:
     """Looks up file and host names by hash; rows without an entry keep null.
 

@@ -211,3 +211,16 @@ def quantile_pairs(df: DataFrame, by: str, value: str) -> DataFrame:
     bounds = bounds.select(by, F.array(*[pair(*p) for p in QUANTILE_PAIRS]).alias("_p"))
     kept = rows.select(by, value).join(bounds, by).select(by, value, F.explode("_p").alias("_p")).where(F.col(value).between(F.col("_p.lo"), F.col("_p.hi")))
     return kept.groupBy(by, F.col("_p.low").alias("low"), F.col("_p.high").alias("high")).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(F.lit(1)).alias("n"))
+
+
+def split_quantiles(view: DataFrame) -> DataFrame:
+    """Columns <metric>_q<low>_q<high>_stats (array of mean, std, count) as three columns each."""
+    stats = [c for c in view.columns if c.endswith("_stats") and "_q" in c]
+    parts = {f"{c.removesuffix('_stats')}_{n}": F.get(F.col(c), F.lit(i)).cast(t) for c in stats for i, (n, t) in enumerate((("mean", "double"), ("std", "double"), ("count", "bigint")))}
+    return view.withColumns(parts).drop(*stats) if stats else view
+
+
+def exceeding_time(detail: DataFrame, by: list[str], width: int) -> DataFrame:
+    """One row: the longest time (µs) of one group of high-level metrics, and whether it exceeds the bucket width."""
+    most = F.max("t")
+    return detail.groupBy(*by).agg(F.sum("time").alias("t")).agg(most.alias("most"), F.coalesce(most > width, F.lit(False)).alias("exceeds"))

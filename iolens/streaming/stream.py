@@ -63,18 +63,23 @@ def for_each_window(events: DataFrame, emit: Callable[[DataFrame, int], None], c
     return events.writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def batches_to_files(folder: str) -> Callable[[DataFrame, int], None]:
+    """For for_each_window: appends every micro-batch as Parquet files in batch=<n>; a batch that runs again replaces its own."""
+
+    def write(rows: DataFrame, no: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={no}")
+
+    return write
+
+
 def run_available(df: DataFrame, keys: list[str], folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over everything there is; returns what it wrote: all rows (append), the last per key (update) or the last batch (complete).
 
-    Every micro-batch is written to a place of its own below `folder`, so the
-    result never lies in the driver; a batch that runs again replaces its own.
+    The result lies below `folder`, never in the driver.
     """
     spark, schema = df.sparkSession, T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
 
-    def write(rows: DataFrame, no: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={no}")
-
-    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q = df.writeStream.foreachBatch(batches_to_files(f"{folder}/rows")).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
     there = root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)  # an empty source has no batch

@@ -422,6 +422,24 @@ def test_percentiles_equal_interpolated_ones(spark):
     assert ranks.percentiles(df.where("false"), "g", "v", points).count() == 0
 
 
+def test_process_parts_ids_scores_and_quantile_columns(spark):
+    df = spark.createDataFrame([("app#h#7#3",), ("sim#n1#12",), (None,)], "p string")
+    parts = df.select(*[c.alias(n) for n, c in N.process_parts(F.col("p")).items()])
+    assert [tuple(r) for r in parts.collect()] == [("app", "h", "7", None, "3"), ("sim", "n1", None, "12", None), (None,) * 5]
+    ids = [r[0] for r in df.select(N.stable_id(F.lit("a"), F.col("p"))).collect()]
+    import hashlib
+
+    assert ids == [int(hashlib.md5(f"a_{p}".encode()).hexdigest()[:15], 16) for p in ("app#h#7#3", "sim#n1#12", None)]
+    view = spark.createDataFrame([(0.3, 1.5, 1e9, 200.0, 50.0), (None, 0.2, None, None, 400.0)], "a_pct double, b_util double, c_ops_slope double, d_bw_mean double, e_count double")
+    got = M.with_scores(view, {"d_bw_mean": 400.0, "e_count": 100.0, "gone": 1.0}).collect()
+    assert [got[0][f"{c}_score"] for c in ("a_pct", "b_util", "d_bw_mean", "e_count")] == [0.3, 0.0, 0.5, 0.5] and got[0]["c_ops_slope_score"] > 0.99
+    assert [got[1][f"{c}_score"] for c in ("a_pct", "b_util", "c_ops_slope", "d_bw_mean", "e_count")] == [None, 0.8, None, None, 1.0]
+    q = spark.createDataFrame([([2.0, 0.5, 4.0], 1), (None, 2)], "time_q1_q99_stats array<double>, k int")
+    assert rows(V.split_quantiles(q), "k", "time_q1_q99_mean", "time_q1_q99_std", "time_q1_q99_count") == [(1, 2.0, 0.5, 4), (2, None, None, None)]
+    h = spark.createDataFrame([("a", 5), ("a", 7), ("b", None)], "g string, time bigint")
+    assert rows(V.exceeding_time(h, ["g"], 10)) == [(12, True)] and rows(V.exceeding_time(h.where("false"), ["g"], 10)) == [(None, False)]
+
+
 def test_every_named_pack_compiles_over_its_view(spark):
     from iolens.rulepacks import PACKS
 
@@ -471,6 +489,8 @@ def test_streams_equal_batch(spark, tmp_path):
     seen = []
     stream.for_each_window(stream.read_stream(spark, str(tmp_path / "in")), lambda df, i: seen.append(df.count()), str(tmp_path / "c3")).awaitTermination()
     assert sum(seen) == 12
+    stream.for_each_window(stream.read_stream(spark, str(tmp_path / "in"), per_trigger=1), stream.batches_to_files(str(tmp_path / "kept")), str(tmp_path / "c5")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "kept")).groupBy("batch").count().count() == 2 and spark.read.parquet(str(tmp_path / "kept")).count() == 12
     s = stream.run_available(stream.sessions(stream.read_stream(spark, str(tmp_path / "in")), "3 seconds"), ["start", "stop", "pid"], str(tmp_path / "c4"), "complete")
     assert rows(s, "pid", "count") == [(0, 6), (1, 6)]
 
