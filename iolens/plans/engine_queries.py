@@ -294,7 +294,7 @@ def slice_durations(spark, d):
 
 
 def raw_stats(spark, d):
-    got = U.raw_stats(T.traces(spark, d, HOUR), T.profiles(spark, d))
+    got = U.raw_stats(T.traces(spark, d, HOUR, spare=("file_hash",)), T.profiles(spark, d))
     return rounded(got)
 
 

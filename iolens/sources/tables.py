@@ -26,7 +26,7 @@ def raw_events(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
 SPARE = {"epoch": "epoch", "step": "step", "file_hash": "file_hash", "offset": "file_offset"}
 
 
-def traces(spark: SparkSession, d: str, width: int = 3600 * S.TICKS, origin: int | Column | None = None, spare: tuple[str, ...] = tuple(SPARE)) -> DataFrame:
+def traces(spark: SparkSession, d: str, width: int = 3600 * S.TICKS, origin: int | Column | None = None, spare: tuple[str, ...] = ()) -> DataFrame:
     """trace_events in the schema of traces; columns of SPARE that aren't named are null, and neither read nor compared."""
     names = "event_id cat name pid tid host_hash file_name host_name dur size ts".split()
     x = raw_events(spark, d, [*names, *(SPARE[c] for c in spare)])
